@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,8 +15,9 @@ from pyspark.sql import functions as F
 from pairlens.llm.common import cut, shared_dir, table
 
 END_ID = 2
-#: White space other than a lone blank or line feed, or something like a special token: such texts go to the library whole.
-_ODD = re.compile(r"[^\S \n]|\s\s|<\|")
+#: White space other than a lone blank or line feed: such texts go to the library whole.
+_BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUNS = ("  ", "\n\n", " \n", "\n ", "<|")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -32,19 +32,26 @@ class Encoder:
 
     The byte-level pattern always starts a new piece before a blank or line feed that stands between other characters, so a text
     whose white space is all of that kind is the sequence of its words, each encoded with its blank. Every distinct word goes
-    through the library once while it is remembered; other texts go through it whole. The memory is emptied at ``limit`` words.
+    through the library once while it is remembered; other texts go through it whole. New words go through it many at a time and
+    are told apart by the ids whose strings begin with a blank or line feed. The memory is emptied at ``limit`` words.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.limit = Tokenizer.from_file(path), limit
         self.words: dict[str, bytes] = {}
-        self.feed = self.whole(["\n"])[0]
+        vocab = self.library.get_vocab()
+        self.blank = np.zeros(max(vocab.values()) + 1, bool)
+        self.blank[[i for x, i in vocab.items() if x[:1] == "\u0120"]] = True
+        self.feed = int(np.frombuffer(self.whole("\n"), "<u4")[0])
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return self.numbers(text).tobytes()
+
+    def numbers(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [x for i in range(0, len(texts), 256) for x in self._some(texts[i : i + 256])]
@@ -52,22 +59,34 @@ class Encoder:
     def _some(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > self.limit:
             self.words.clear()
-        odd = [bool(_ODD.search(t)) for t in texts]
-        # a line's first word is remembered behind a line feed, the others bare; both as they stand between blanks
-        split = [None if o else [x for line in t.split("\n") for x in ("\n" + line).split(" ")] for t, o in zip(texts, odd)]
-        new = list(set().union(*(s for s in split if s)) - self.words.keys())
-        self.words.update(zip(new, self.whole([x[1:] if x[:1] == "\n" else " " + x for x in new])))
-        known, feed = self.words, self.feed
-        out = []
-        for t, s in zip(texts, split):
-            if s is None:
-                out.append(self.whole([t])[0])
-            else:
-                found = [feed + known[x] if x[:1] == "\n" else known[x] for x in s] if "\n" in t else [known[x] for x in s]
-                if "\n" in t:
-                    found[0] = known[s[0]]
-                out.append(b"".join(found))
-        return out
+        # the text's first word has neither blank nor line feed before it: it is looked up as a line's first, less that feed
+        split = [None if odd(t) or t[:1] == " " else ("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
+        get = self.words.get
+        found = [None if s is None else list(map(get, s)) for s in split]
+        gaps = [(f, i, s[i]) for s, f in zip(split, found) if f and None in f for i, y in enumerate(f) if y is None]
+        if gaps:
+            self.learn({x for _, _, x in gaps})
+        for f, i, x in gaps:
+            f[i] = self.words[x]
+        return [self.whole(t) if f is None else b"".join(f)[4:] for t, f in zip(texts, found)]
+
+    def learn(self, new: set[str]) -> None:
+        """Words as they stand behind a blank, or, if they begin with a line feed, behind that."""
+        for lead in ("\n", ""):
+            some = [x for x in new if (x[:1] == "\n") == bool(lead) and len(x) > len(lead)]
+            for i in range(0, len(some), 4096):
+                part = some[i : i + 4096]
+                ids = self.numbers("".join(part) if lead else " " + " ".join(part))
+                cuts = np.append(np.flatnonzero(ids == self.feed if lead else self.blank[ids]), len(ids)) * 4
+                if len(cuts) != len(part) + 1:
+                    raise ValueError("this vocabulary does not start a piece at every blank")
+                flat = ids.tobytes()
+                self.words.update(zip(part, [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]))
+        self.words |= {x: self.whole(x if x else " ") for x in new if len(x) <= (x[:1] == "\n")}
+
+
+def odd(text: str) -> bool:
+    return any(x in text for x in _RUNS) or any(x in text for x in _BLANKS)
 
 
 def encoder(path: str) -> Encoder:
@@ -80,7 +99,7 @@ def write_ids(docs: DataFrame, path: str, vocab: str, end_id: int = END_ID) -> N
     """Encodes every row's text (null: empty), appends ``end_id``, and writes ORC in ascending order of doc_id.
 
     Columns: ``part`` (the range of ids that a file holds; ascending), ``doc_id``, ``ids``, ``before`` (ids of earlier rows of the
-    part). Null doc_ids come first; rows that share one are ordered by text. Integers are run-length encoded, every 1,000 rows have
+    part), ``n_ids``. Null doc_ids come first; rows that share one are ordered by text. Integers are run-length encoded, every 1,000 rows have
     an index entry with least and greatest doc_id and a Bloom filter, and stripes are small enough to be read in parallel. Rows are
     dealt by ranges of doc_id, so no task holds more than its range.
     """
@@ -94,13 +113,13 @@ def write_ids(docs: DataFrame, path: str, vocab: str, end_id: int = END_ID) -> N
                 sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), ids, pa.array(before + ends[:-1])], names=["part", "doc_id", "ids", "before"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), ids, pa.array(before + ends[:-1]), pa.array(sizes)], names=["part", "doc_id", "ids", "before", "n_ids"])
                 before += int(ends[-1])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     (
-        rows.mapInArrow(run, "part int, doc_id long, ids array<int>, before long").write
+        rows.mapInArrow(run, "part int, doc_id long, ids array<int>, before long, n_ids long").write
         .option("compression", "zstd").option("orc.stripe.size", str(16 << 20)).option("orc.row.index.stride", "1000")
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
     )
@@ -121,7 +140,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.orc(path)
     rows = files.select("part", "doc_id", "ids", "before").mapInArrow(run, "part int, doc_id long, before long, n_tokens long, ids_crc32 long")
-    sizes = cut(files.groupBy("part").agg(F.sum(F.size("ids")).cast("long").alias("total")))
+    sizes = cut(files.groupBy("part").agg(F.sum("n_ids").alias("total")))
     first = sizes.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
     return rows.join(F.broadcast(first), "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
