@@ -36,7 +36,7 @@ class Encoder:
     are told apart by the ids whose strings begin with a blank or line feed. The memory is emptied at ``limit`` words.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

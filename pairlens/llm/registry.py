@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import orc_tokens, rank_langid, simhash_tiles, temperature_mix, template_decontam
+from pairlens.llm import crf_pages, orc_tokens, rank_langid, simhash_tiles, temperature_mix, template_decontam, va_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": rank_langid.op1_langid,
+        "op3_topk": va_topk.op3_topk,
+        "op4_main_text": crf_pages.op4_main_text,
         "op6_simhash": simhash_tiles.op6_simhash,
         "op7_decontam": template_decontam.op7_decontam,
         "op8_mix": temperature_mix.op8_mix,
