@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import crf_pages, orc_tokens, rank_langid, simhash_tiles, temperature_mix, template_decontam, va_topk
+from pairlens.llm import crf_pages, edit_counts, fuzzy_lines, orc_tokens, rank_langid, simhash_tiles, temperature_mix, template_decontam, va_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": rank_langid.op1_langid,
+        "op2_fuzzy_lines": fuzzy_lines.op2_fuzzy_lines,
         "op3_topk": va_topk.op3_topk,
         "op4_main_text": crf_pages.op4_main_text,
+        "op5_edit_counts": edit_counts.op5_edit_counts,
         "op6_simhash": simhash_tiles.op6_simhash,
         "op7_decontam": template_decontam.op7_decontam,
         "op8_mix": temperature_mix.op8_mix,
