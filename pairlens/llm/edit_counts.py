@@ -15,8 +15,11 @@ from pairlens.llm.common import add_columns, table
 from pairlens.llm.orc_tokens import vocabulary
 
 LEAF = 64
-#: What the query's edits replace: addresses of mail and network, and telephone numbers.
-PERSONAL = regex.compile(r"(?P<mail>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?P<ip>\b\d{1,3}(?:\.\d{1,3}){3}\b)|(?P<phone>\+?\d[\d ()./-]{6,}\d)")
+#: What the query's edits replace: addresses of mail (with up to 64 characters before the sign) and network, telephone numbers.
+_BEFORE = regex.compile(r"[\w.+-]+$")
+_AFTER = regex.compile(r"[\w-]+(?:\.[\w-]+)+")
+_DIGITS = regex.compile(r"\d")
+_NUMBERS = regex.compile(r"(?P<ip>(?<!\w)\d{1,3}(?:\.\d{1,3}){3}(?!\w))|(?P<phone>\+?\d[\d ()./-]{6,}\d)")
 
 
 class Counter:
@@ -33,7 +36,7 @@ class Counter:
     def learn(self, pieces: Iterable[str]) -> None:
         if len(self.known) > self.limit:
             self.known.clear()
-        new = list(set(pieces) - self.known.keys())
+        new = [p for p in set(pieces) if p not in self.known]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             self.known.update(zip(part, [len(e.ids) for e in self.library.encode_batch_fast(part, add_special_tokens=False)]))
@@ -158,7 +161,20 @@ class TokenTree:
 
 def redactions(text: str) -> list[tuple[int, int, str]]:
     """Edits, by rising place in the text: personal data become typed placeholders."""
-    return [(m.start(), m.end(), f"[{m.lastgroup}]") for m in PERSONAL.finditer(text)]
+    found, at = [], text.find("@")
+    while at >= 0:
+        before, after = _BEFORE.search(text[max(0, at - 64) : at]), _AFTER.match(text, at + 1)
+        if before and after:
+            found.append((at - len(before[0]), after.end(), "[mail]"))
+        at = text.find("@", after.end() if after else at + 1)
+    if _DIGITS.search(text):
+        found += [(m.start(), m.end(), f"[{m.lastgroup}]") for m in _NUMBERS.finditer(text)]
+    out, end = [], 0
+    for edit in sorted(found):
+        if edit[0] >= end:
+            out.append(edit)
+            end = edit[1]
+    return out
 
 
 def edited_counts(docs: DataFrame, edits=redactions, vocab: str | None = None) -> DataFrame:
