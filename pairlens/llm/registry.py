@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import crf_pages, edit_counts, fuzzy_lines, orc_tokens, rank_langid, simhash_tiles, temperature_mix, template_decontam, va_topk
+from pairlens.llm import crf_pages, edit_counts, fuzzy_lines, orc_tokens, rank_langid, simhash_tiles, suffix_dedup, temperature_mix, template_decontam, va_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": simhash_tiles.op6_simhash,
         "op7_decontam": template_decontam.op7_decontam,
         "op8_mix": temperature_mix.op8_mix,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_orc_tokens": orc_tokens.op10_orc_tokens,
     }
 
