@@ -79,8 +79,8 @@ def train(docs: DataFrame, size: int = 400, docs_per_lang: int = 3000) -> dict[s
     return {lang: [r[0] for r in counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(size).select("gram").collect()] for lang in sorted(sizes)}
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = 400) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` for its ``text``.
+def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = 400, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (or other ``names``) for its ``text``.
 
     The whole text's ``size`` most frequent n-grams are compared with each profile: an n-gram that both hold costs the
     difference of its ranks, one that the profile lacks costs ``size``. The least sum wins, ties to the language first in order.
@@ -108,7 +108,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = 400) ->
         found = [one(t) for t in texts]
         return pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())
 
-    return add_columns(docs, "text", run, "lang_pred string, score double")
+    return add_columns(docs, "text", run, f"{names[0]} string, {names[1]} double")
 
 
 def held_out() -> F.Column:
@@ -134,4 +134,5 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows whose text is null or has no letter have no language and go; all others stay."""
     profiles = train(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    return predict(docs, profiles).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    marked = predict(docs, profiles, names=("pairlens__lang", "pairlens__score"))
+    return marked.where(F.col("pairlens__lang") != UNDETERMINED).select(*docs.columns)

@@ -121,4 +121,4 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str, entropy: float = 0.
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("key"))
     out = copies_of(rows, sources, taken, SEED).where("copies > 0")
-    return out.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    return out.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -172,8 +172,8 @@ def blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str | No
         yield some
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0.8, block_chars: int = 20_000_000) -> DataFrame:
-    """``docs`` with ``hits``: the benchmark items (``item``, ``share``) that each row's whole text holds.
+def mark(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0.8, block_chars: int = 20_000_000, name: str = "hits") -> DataFrame:
+    """``docs`` with ``hits`` (or another ``name``): the benchmark items (``item``, ``share``) that each row's whole text holds.
 
     A text holds an item if at least ``share`` of the item's windows of ``size`` template words occur in it in step, with slots
     that agree. The join's build side is a block of the benchmark, at most ``block_chars`` characters (some 40 bytes of index
@@ -189,10 +189,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0.
             found = [[{"item": x, "share": s} for x, s in index.value.matches(t)] for t in texts]
             return (pa.array(found, pa.list_(pa.struct([("item", pa.int64()), ("share", pa.float64())]))),)
 
-        out = add_columns(out, "text", run, f"_hits_{i} array<struct<item: bigint, share: double>>")
-        seen.append(f"_hits_{i}")
+        out = add_columns(out, "text", run, f"{name}__{i} array<struct<item: bigint, share: double>>")
+        seen.append(f"{name}__{i}")
     hits = F.concat(*seen) if seen else F.expr("cast(array() as array<struct<item: bigint, share: double>>)")
-    return out.withColumn("hits", hits).drop(*seen)
+    return out.withColumn(name, hits).drop(*seen)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0.8) -> DataFrame:
@@ -210,4 +210,5 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go."""
-    return mark(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") == 0).select(*docs.columns)
+    marked = mark(docs, table(spark, sf_dir, "benchmark"), name="pairlens__hits")
+    return marked.where(F.size("pairlens__hits") == 0).select(*docs.columns)
