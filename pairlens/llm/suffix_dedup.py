@@ -303,15 +303,18 @@ def repeated_starts(docs: DataFrame, buckets: int, bits: int = 26, remembered: i
                         known[name] = doc
                         sent.setdefault(g % buckets, []).append((g, doc, tid, i, body))
                     if own:
-                        here.append((doc, tid, np.array(own, np.int64).tobytes()))
+                        here.append((str(doc), str(tid), np.array(own, np.int64).tobytes()))
                     if len(known) > remembered:
                         known.clear()
-                rows = [(k, None, None, packer.compress(pack_contexts(x))) for k, x in sent.items()] + [(None, *x) for x in here]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "doc_id", "text_id", "blob"])
+                rows = [(k, None, None, packer.compress(pack_contexts(x))) for k, x in sent.items()] + [(int(x[0]) % buckets, *x) for x in here]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string(), pa.binary()))], names=["bucket", "doc_id", "text_id", "blob"])
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
         grams, docs_, texts, starts, bodies = [], [], [], [], []
-        for blob in part["blob"]:
+        ready = part["doc_id"].notna()
+        if ready.all():
+            return part[["doc_id", "text_id", "blob"]]
+        for blob in part["blob"][~ready]:
             g, d, t, s, b = unpack_contexts(zstandard.decompress(blob))
             grams.append(g)
             docs_.append(d)
@@ -321,12 +324,12 @@ def repeated_starts(docs: DataFrame, buckets: int, bits: int = 26, remembered: i
         per: dict[tuple[int, int], list[int]] = {}
         for d, t, low, high in resolve(np.concatenate(grams), bodies, np.concatenate(docs_), np.concatenate(texts), np.concatenate(starts)):
             per.setdefault((d, t), []).extend((low, high))
-        return pd.DataFrame({"doc_id": [k[0] for k in per], "text_id": [k[1] for k in per], "blob": [np.array(v, np.int64).tobytes() for v in per.values()]})
+        new = pd.DataFrame({"doc_id": [str(k[0]) for k in per], "text_id": [str(k[1]) for k in per], "blob": [np.array(v, np.int64).tobytes() for v in per.values()]})
+        return pd.concat([part.loc[ready, ["doc_id", "text_id", "blob"]], new])
 
-    found = cut(docs.mapInArrow(contexts, "bucket int, doc_id long, text_id long, blob binary"))
-    here = found.where("bucket is null").select("doc_id", "text_id", "blob")
-    there = found.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInPandas(settle, "doc_id long, text_id long, blob binary")
-    return here.unionByName(there).withColumnRenamed("blob", "ranges")
+    found = docs.mapInArrow(contexts, "bucket int, doc_id string, text_id string, blob binary")
+    settled = found.groupBy("bucket").applyInPandas(settle, "doc_id string, text_id string, blob binary")
+    return settled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text_id").cast("long").alias("text_id"), F.col("blob").alias("ranges"))
 
 
 def pack_contexts(rows: list[tuple[int, int, int, int, bytes]]) -> bytes:
