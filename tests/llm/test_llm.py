@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -196,10 +197,10 @@ def test_fuzzy_lines(spark, docs, none):
     forms = {}
     for d, t in rows:
         for i, line in enumerate((t or "").split("\n")):
-            if d is not None and (f := fuzzy_lines.normal(line)):
+            if d is not None and (f := " ".join(re.sub(r"[^\w\s]", " ", re.sub(r"\d", "0", line.lower())).split())):
                 forms.setdefault(f, []).append((d, i))
     names = sorted(forms)
-    prints = [int(x) & (2**64 - 1) for x in fuzzy_lines.simhashes(names).tolist()]
+    prints = [int(x) & (2**64 - 1) for x in fuzzy_lines.simhashes([f.encode() for f in names]).tolist()]
     comp = list(range(len(names)))
     for _ in names:
         for i in range(len(names)):
@@ -215,6 +216,37 @@ def test_fuzzy_lines(spark, docs, none):
     assert fuzzy_lines.dedup_lines(none).count() == 0
 
 
+def test_edit_similarity_matches_plain_distances():
+    rng = random.Random(4)
+    for _ in range(400):
+        a = "".join(rng.choice("abc dé") for _ in range(rng.randint(0, 70)))
+        b = list(a)
+        for _ in range(rng.randint(0, 12)):
+            i = rng.randint(0, len(b))
+            b[i : i + rng.randint(0, 2)] = rng.choice(["", "a", "bb", "d c"])
+        b = "".join(b)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        most = (1 - 0.8) * max(len(a), len(b)) + 1e-9
+        assert fuzzy_lines.edit_similar(a, b, 0.8) == (row[-1] <= most)
+        assert fuzzy_lines.rough_distance(a, b, 1000) >= row[-1]
+        counts = fuzzy_lines.letter_counts([a, b])
+        assert np.maximum(counts[0] - counts[1], 0).sum() <= row[-1]
+
+
+def test_line_fingerprints_match_plain_sums():
+    rng = random.Random(5)
+    lines = [b" ".join(b"w%d" % rng.randint(0, 9) for _ in range(n)) for n in (0, 1, 254, 255, 256, 511, 3, 40_000, 0, 2)]
+    for line, got in zip(lines, fuzzy_lines.simhashes(lines).tolist()):
+        words = line.split()
+        counts = [sum(xxhash.xxh3_64_intdigest(w) >> b & 1 for w in words) for b in range(64)]
+        assert got & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * counts[b] > len(words))
+
+
 def test_suffix_array():
     rng = random.Random(3)
     for _ in range(500):
