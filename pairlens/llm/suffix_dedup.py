@@ -155,6 +155,28 @@ def shared_strings(contexts: list[tuple[bytes, int]], chunk: int = 1 << 16) -> l
     return out
 
 
+def common_pieces(contexts: list[bytes]) -> list[tuple[int, int, bytes]]:
+    """(context, start in it, piece): pieces that cover every 50-byte string whose hash another context has too.
+
+    Equal strings have equal hashes, so no shared string is lost; others with equal hashes only make pieces longer.
+    """
+    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    counts = sizes - LENGTH + 1
+    own = np.repeat(np.arange(len(contexts)), counts)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    h = gram_hashes(np.frombuffer(b"".join(contexts), np.uint8), LENGTH)[at + np.repeat(np.cumsum(sizes) - sizes, counts)]
+    order = np.lexsort((own, h))
+    h, by = h[order], own[order]
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    several = by[new] != by[np.append(new[1:], len(by)) - 1]
+    hit = np.zeros(len(own), bool)
+    hit[order] = np.repeat(several, np.diff(np.append(new, len(by))))
+    edge = np.concatenate([[True], own[1:] != own[:-1]])
+    low = np.flatnonzero(hit & (edge | np.concatenate([[True], ~hit[:-1]])))
+    high = np.flatnonzero(hit & np.concatenate([edge[1:] | ~hit[1:], [True]]))
+    return [(c, i, contexts[c][i : j + LENGTH]) for c, i, j in zip(own[low].tolist(), at[low].tolist(), at[high].tolist())]
+
+
 def resolve(grams: np.ndarray, bodies: list[bytes], docs: np.ndarray, texts: np.ndarray, starts: np.ndarray, chunk: int = 1 << 16) -> list[tuple[int, int, int, int]]:
     """Starts (doc, text, low, high) of strings that a smaller doc holds, among occurrences of contexts with their grams."""
     least: dict[tuple[int, bytes], int] = {}
@@ -165,23 +187,30 @@ def resolve(grams: np.ndarray, bodies: list[bytes], docs: np.ndarray, texts: np.
     for g, b in least:
         by_gram.setdefault(g, []).append(b)
     known: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-    some: list[tuple[int, bytes]] = []
+    waiting: list[tuple[int, bytes]] = []
     size = 0
 
     def flush() -> None:
-        nonlocal some, size
-        for c, r, d in shared_strings([(b, least[g, b]) for g, b in some]):
-            known.setdefault(some[c], []).append((r, d))
-        some, size = [], 0
+        nonlocal waiting, size
+        some: list[tuple[tuple[int, bytes], int, bytes]] = []
+        held = 0
+        for n, (c, i, piece) in enumerate(pieces := common_pieces([b for _, b in waiting])):
+            some.append((waiting[c], i, piece))
+            held += len(piece)
+            last = n + 1 == len(pieces)
+            if last or held > chunk and waiting[pieces[n + 1][0]][0] != waiting[c][0]:
+                for x, r, d in shared_strings([(piece, least[name]) for name, _, piece in some]):
+                    known.setdefault(some[x][0], []).append((some[x][1] + r, d))
+                some, held = [], 0
+        waiting, size = [], 0
 
     for g, own in by_gram.items():
-        own = [b for b in own if len(own) > 1]
-        if own:
-            some += [(g, b) for b in own]
+        if len(own) > 1:
+            waiting += [(g, b) for b in own]
             size += sum(map(len, own))
-            if size > chunk:
+            if size > 16 * chunk:
                 flush()
-    if some:
+    if waiting:
         flush()
     out = []
     for g, b, d, t, s in zip(grams.tolist(), bodies, docs.tolist(), texts.tolist(), starts.tolist()):
@@ -272,8 +301,8 @@ def repeated_starts(docs: DataFrame, buckets: int, bits: int = 26, remembered: i
     Every 50-byte string contains the gram of least hash among its grams; equal strings choose equal grams. Only strings whose gram
     lies in two different texts can repeat, so a first pass marks such grams in a bitmap of fixed size (a false mark costs time only),
     and a second one cuts out the bytes around each marked gram (a context: all 50-byte strings that chose it). A context that the
-    same task has seen in a smaller document is marked at once; the others are dealt by gram, and suffix arrays over the contexts of
-    each gram find which of their strings agree. A gram that a third of the rows hold sends one context a task for each distinct one.
+    same task has seen in a smaller document is marked at once; the others are dealt by gram, cut to the pieces whose hashes several
+    contexts have, and suffix arrays over the pieces of each gram find which of their strings agree. A gram that a third of the rows hold sends one context a task for each distinct one.
     """
     seen_twice = docs.sparkSession.sparkContext.broadcast(repeated_grams(docs, buckets, bits))
 

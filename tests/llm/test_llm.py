@@ -254,6 +254,19 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_common_pieces_cover_shared_strings():
+    rng = random.Random(6)
+    words = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 40))) for _ in range(6)]
+    for _ in range(60):
+        contexts = [(b"".join(rng.choice(words) for _ in range(8)) + b"x" * 50)[: rng.randint(50, 160)] for _ in range(rng.randint(2, 8))]
+        n = suffix_dedup.LENGTH
+        held = [{b[i : i + n] for i in range(len(b) - n + 1)} for b in contexts]
+        want = {(c, i) for c, b in enumerate(contexts) for i in range(len(b) - n + 1) if any(b[i : i + n] in h for k, h in enumerate(held) if k != c)}
+        pieces = suffix_dedup.common_pieces(contexts)
+        assert {(c, i + k) for c, i, p in pieces for k in range(len(p) - n + 1)} == want
+        assert all(contexts[c][i : i + len(p)] == p for c, i, p in pieces)
+
+
 def test_strip_repeats(spark, docs, none):
     got = {r.doc_id: r for r in suffix_dedup.strip_repeats(docs).collect()}
     seen = set()
