@@ -54,23 +54,25 @@ class Words(dict):
 _WORDS = Words()
 
 
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Codes of a text's words as templates, which words they stand for, and the words.
+def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Codes of a text's words as templates, which of them may be names too, which words they stand for, and the words.
 
-    Numbers and units have one code each. So have names: capitalised words that don't start the text, a line or a sentence. Other
-    words count by their lower-cased form without punctuation around it; words of punctuation alone are passed over.
+    Numbers and units have one code each. So have names: capitalised words that don't start the text or a sentence. One that does
+    start it may be a name or another word; its code is the word's. Other words count by their lower-cased form without
+    punctuation around it; words of punctuation alone are passed over.
     """
     words = (text or "").split()
     if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), words
+        return np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.int64), words
     if len(_WORDS) >= _WORDS.limit:
         _WORDS.clear()
     raw = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     flags = (raw & FLAGS).astype(np.uint8)
     starts = np.concatenate([[True], (flags[:-1] & ENDS) > 0])
-    code = np.where(((flags & CAPITAL) > 0) & ~starts, np.uint64(NAME), raw & ~FLAGS)
+    capital = (flags & CAPITAL) > 0
+    code = np.where(capital & ~starts, np.uint64(NAME), raw & ~FLAGS)
     at = np.flatnonzero((flags & EMPTY) == 0)
-    return code[at], at, words
+    return code[at], (capital & starts)[at], at, words
 
 
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
@@ -84,6 +86,25 @@ def windows(codes: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def readings(codes: np.ndarray, maybe: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows under every reading of the words that may be names: hashes and places.
+
+    With at most ``most`` such words in a window, their numbers modulo ``most`` differ within it, so a reading of the whole text for
+    each subset of the remainders gives every window every reading.
+    """
+    plain = windows(codes, size)
+    n = len(plain)
+    seen = np.concatenate([[0], np.cumsum(maybe)])
+    inside = seen[size:] - seen[:-size] if n else np.empty(0, np.int64)
+    own = np.flatnonzero(inside)
+    if not len(own):
+        return plain, np.arange(n)
+    most = int(inside.max())
+    bit = 1 << ((seen[1:] - 1) % most)
+    found = [windows(np.where(maybe & ((bit & subset) > 0), np.uint64(NAME), codes), size)[own] for subset in range(1, 1 << most)]
+    return np.concatenate([plain, *found]), np.concatenate([np.arange(n), np.tile(own, len(found))])
+
+
 class Index:
     """Template windows of a block of benchmark items."""
 
@@ -91,13 +112,13 @@ class Index:
         self.size, self.share, self.items = size, share, {}
         hashes, owners, places = [], [], []
         for item, text in items:
-            codes, at, words = template(text)
-            found = windows(codes, size)
+            codes, maybe, at, words = template(text)
+            found, where = readings(codes, maybe, size)
             if len(found):
-                self.items[item] = (len(found), codes, [words[i] for i in at])
+                self.items[item] = (len(codes) - size + 1, codes, [words[i] for i in at])
                 hashes.append(found)
                 owners.append(np.full(len(found), item, np.int64))
-                places.append(np.arange(len(found)))
+                places.append(where)
         join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
         h = join(hashes, np.uint64)
         order = np.argsort(h, kind="stable")
@@ -110,14 +131,15 @@ class Index:
         """Items that the text holds, each with the share of its windows that are there in step and with consistent slots."""
         if not text or not len(self.hashes):
             return []
-        codes, at, words = template(text)
-        found = windows(codes, self.size)
+        codes, maybe, at, words = template(text)
+        found, where = readings(codes, maybe, self.size)
         pos = np.flatnonzero(self.there[found >> np.uint64(64 - self.bits)])
         lo = np.searchsorted(self.hashes, found[pos], "left")
         n = np.searchsorted(self.hashes, found[pos], "right") - lo
-        pos, lo, n = pos[n > 0], lo[n > 0], n[n > 0]
+        pos, lo, n = where[pos[n > 0]], lo[n > 0], n[n > 0]
         if not len(pos):
             return []
+        bare = [words[k] for k in at]
         entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         pos, owner, place = np.repeat(pos, n), self.owners[entry], self.places[entry]
         out = []
@@ -138,20 +160,31 @@ class Index:
                     if t - s > max(self.size, total // 4):
                         break
                     near |= {q: p for q, p in sets[t].items() if q not in near}
-                kept = self.consistent(near, item_codes, item_words, [words[k] for k in at] if near else [])
+                kept = self.consistent(near, (item_codes, item_words), (codes, bare))
                 best = max(best, kept / total)
             if best >= self.share:
                 out.append((item, best))
         return out
 
-    def consistent(self, found: dict[int, int], codes: np.ndarray, mine: list[str], theirs: list[str]) -> int:
-        """How many windows stay if every name or number of the item stands for one value of the text, and no two for the same."""
+    def consistent(self, found: dict[int, int], mine: tuple, theirs: tuple) -> int:
+        """How many windows stay if every name or number of the item stands for one value of the text, and no two for the same.
+
+        A word that may be a name is one where the texts differ, or where the other text has a name. Windows that need no such
+        reading come first, so what they settle holds for the others.
+        """
+        (codes, words), (their_codes, their_words) = mine, theirs
         kinds = {NUMBER, NAME}
         to: dict[tuple[int, str], str] = {}
         back: dict[tuple[int, str], str] = {}
-        kept = 0
+        kept, order = 0, []
         for q, p in sorted(found.items()):
-            slots = [(int(codes[q + i]), mine[q + i].strip(_EDGE), theirs[p + i].strip(_EDGE)) for i in range(self.size) if int(codes[q + i]) in kinds]
+            read = codes[q : q + self.size] != their_codes[p : p + self.size]
+            slots = [
+                (NAME if r else c, words[q + i].strip(_EDGE), their_words[p + i].strip(_EDGE))
+                for i, (c, r) in enumerate(zip(codes[q : q + self.size].tolist(), read.tolist())) if r or c in kinds
+            ]
+            order.append((bool(read.any()), q, slots))
+        for _, _, slots in sorted(order, key=lambda x: x[:2]):
             if all(to.get((k, x), y) == y and back.get((k, y), x) == x for k, x, y in slots):
                 to |= {(k, x): y for k, x, y in slots}
                 back |= {(k, y): x for k, x, y in slots}
