@@ -15,8 +15,8 @@ from pairlens.llm.common import add_columns, table
 from pairlens.llm.orc_tokens import vocabulary
 
 LEAF = 64
-#: What the query's edits replace: addresses of mail (with up to 64 characters before the sign) and network, telephone numbers.
-_BEFORE = regex.compile(r"[\w.+-]+$")
+#: What the query's edits replace: addresses of mail and network, telephone numbers.
+_BEFORE = regex.compile(r"(?r)[\w.+-]+")
 _AFTER = regex.compile(r"[\w-]+(?:\.[\w-]+)+")
 _DIGITS = regex.compile(r"\d")
 _NUMBERS = regex.compile(r"(?P<ip>(?<!\w)\d{1,3}(?:\.\d{1,3}){3}(?!\w))|(?P<phone>\+?\d[\d ()./-]{6,}\d)")
@@ -161,11 +161,12 @@ class TokenTree:
 
 def redactions(text: str) -> list[tuple[int, int, str]]:
     """Edits, by rising place in the text: personal data become typed placeholders."""
-    found, at = [], text.find("@")
+    found, at, done = [], text.find("@"), 0
     while at >= 0:
-        before, after = _BEFORE.search(text[max(0, at - 64) : at]), _AFTER.match(text, at + 1)
+        before, after = _BEFORE.match(text, done, at), _AFTER.match(text, at + 1)  # the former from the sign backwards
         if before and after:
-            found.append((at - len(before[0]), after.end(), "[mail]"))
+            done = after.end()
+            found.append((before.start(), done, "[mail]"))
         at = text.find("@", after.end() if after else at + 1)
     if _DIGITS.search(text):
         found += [(m.start(), m.end(), f"[{m.lastgroup}]") for m in _NUMBERS.finditer(text)]
