@@ -132,7 +132,11 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows whose text is null or has no letter have no language and go; all others stay."""
+    """Pipeline stage: rows whose text is null or has no letter have no language and go; all others stay, whether or not there is
+    a label to learn from."""
     profiles = train(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    if not any(profiles.values()):
+        lettered = lambda texts: (pa.array([len(grams(t)) > 0 for t in texts], pa.bool_()),)
+        return add_columns(docs, "text", lettered, "pairlens__lettered boolean").where("pairlens__lettered").select(*docs.columns)
     marked = predict(docs, profiles, names=("pairlens__lang", "pairlens__score"))
     return marked.where(F.col("pairlens__lang") != UNDETERMINED).select(*docs.columns)
