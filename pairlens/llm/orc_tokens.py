@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ END_ID = 2
 #: White space other than a lone blank or line feed: such texts go to the library whole.
 _BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = ("  ", "\n\n", " \n", "\n ", "<|")
+#: The byte-level alphabet: bytes that are no printable Latin-1 character stand as the code points from 256 on, in order.
+_ALPHABET = {x: 256 + i for i, x in enumerate(x for x in range(256) if not (33 <= x < 127 or 161 <= x < 173 or 174 <= x))}
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -27,62 +30,62 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of whole texts, little-endian unsigned 32-bit, by the tokenizers library with a memory of words.
 
     The byte-level pattern always starts a new piece before a blank or line feed that stands between other characters, so a text
-    whose white space is all of that kind is the sequence of its words, each encoded with its blank. Every distinct word goes
-    through the library once while it is remembered; other texts go through it whole. New words go through it many at a time and
-    are told apart by the ids whose strings begin with a blank or line feed. The memory is emptied at ``limit`` words.
+    whose white space is all of that kind is the sequence of its words, each encoded with its blank; other texts go through the
+    library whole. This is the memory itself: words as they stand behind a blank (or, if they begin with a line feed, behind that)
+    -> ids. A word of Latin letters, with at most one mark of punctuation behind it, is one piece (and one for the mark) that the
+    library's model takes directly; other words go through the library. Words are remembered from their second time on, which a
+    filter of fixed size tells, as most new words never come again. The memory is emptied at ``limit`` words.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 300_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.limit = Tokenizer.from_file(path), limit
-        self.words: dict[str, bytes] = {}
-        vocab = self.library.get_vocab()
-        self.blank = np.zeros(max(vocab.values()) + 1, bool)
-        self.blank[[i for x, i in vocab.items() if x[:1] == "\u0120"]] = True
-        self.feed = int(np.frombuffer(self.whole("\n"), "<u4")[0])
+        self.tokenize = self.library.model.tokenize
+        self.seen = bytearray(1 << 22)
+        self.feed = self.whole("\n")
+        self.marks = {c: self.whole(c) for c in ",.;:!?"}
 
     def whole(self, text: str) -> bytes:
-        return self.numbers(text).tobytes()
-
-    def numbers(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        mark = self.marks.get(word[-1:])
+        bare = word if mark is None else word[:-1]
+        line = bare[:1] == "\n"
+        if line:
+            bare = bare[1:]
+        if bare.isalpha() and (bare.isascii() or max(bare) < "\u0250"):
+            piece = bare if bare.isascii() else bare.encode().decode("latin-1").translate(_ALPHABET)
+            ids = array("I", [t.id for t in self.tokenize(piece if line else "\u0120" + piece)]).tobytes()
+            ids = (self.feed + ids if line else ids) + (mark or b"")
+        else:
+            ids = self.whole(word if word[:1] == "\n" else " " + word)
+        at = hash(word) & 0x3FFFFF
+        if self.seen[at]:
+            self[word] = ids
+        else:
+            self.seen[at] = 1
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [x for i in range(0, len(texts), 256) for x in self._some(texts[i : i + 256])]
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > self.limit:
-            self.words.clear()
-        # the text's first word has neither blank nor line feed before it: it is looked up as a line's first, less that feed
-        split = [None if odd(t) or t[:1] == " " else ("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
-        get = self.words.get
-        found = [None if s is None else list(map(get, s)) for s in split]
-        gaps = [(f, i, s[i]) for s, f in zip(split, found) if f and None in f for i, y in enumerate(f) if y is None]
-        if gaps:
-            self.learn({x for _, _, x in gaps})
-        for f, i, x in gaps:
-            f[i] = self.words[x]
-        return [self.whole(t) if f is None else b"".join(f)[4:] for t, f in zip(texts, found)]
-
-    def learn(self, new: set[str]) -> None:
-        """Words as they stand behind a blank, or, if they begin with a line feed, behind that."""
-        for lead in ("\n", ""):
-            some = [x for x in new if (x[:1] == "\n") == bool(lead) and len(x) > len(lead)]
-            for i in range(0, len(some), 4096):
-                part = some[i : i + 4096]
-                ids = self.numbers("".join(part) if lead else " " + " ".join(part))
-                cuts = np.append(np.flatnonzero(ids == self.feed if lead else self.blank[ids]), len(ids)) * 4
-                if len(cuts) != len(part) + 1:
-                    raise ValueError("this vocabulary does not start a piece at every blank")
-                flat = ids.tobytes()
-                self.words.update(zip(part, [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]))
-        self.words |= {x: self.whole(x if x else " ") for x in new if len(x) <= (x[:1] == "\n")}
+        out, get = [], self.__getitem__
+        for t in texts:
+            if odd(t) or t[:1] == " ":
+                out.append(self.whole(t))
+            else:
+                # the text's first word has neither blank nor line feed before it: it is looked up as a line's first, less that feed
+                out.append(b"".join(map(get, ("\n" + t.replace("\n", " \n")).split(" ")))[len(self.feed) :])
+            if len(self) > self.limit:
+                self.clear()
+                self.seen = bytearray(len(self.seen))
+        return out
 
 
 def odd(text: str) -> bool:
