@@ -32,8 +32,8 @@ def test_renames_that_disagree_are_no_leak():
 
 
 def test_readings_are_all_there():
-    codes, maybe, _, _ = td.template("Yes. No. Maybe. So it is. Here we are. Yes.")
-    hashes, places = td.readings(codes, maybe, 5)
+    codes, maybe, _, _ = td.template("Yes. No. Maybe. So it is. Here we are. Yes.", td.Words())
+    hashes, places = td.readings(codes, maybe, 5, np.arange(len(codes) - 4))
     want = set()
     for q in range(len(codes) - 4):
         free = np.flatnonzero(maybe[q : q + 5])
