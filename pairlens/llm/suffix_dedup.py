@@ -16,6 +16,7 @@ from pairlens.llm.common import cut, table
 
 LENGTH = 50
 GRAM = 20
+LEAST_BUCKETS, BUCKET_BYTES, FLUSH_BYTES = 256, 32 << 20, 16 << 20
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -192,15 +193,26 @@ def resolve(grams: np.ndarray, bodies: list[bytes], docs: np.ndarray, texts: np.
 
     def flush() -> None:
         nonlocal waiting, size
-        some: list[tuple[tuple[int, bytes], int, bytes]] = []
-        held = 0
-        for n, (c, i, piece) in enumerate(pieces := common_pieces([b for _, b in waiting])):
-            some.append((waiting[c], i, piece))
-            held += len(piece)
-            last = n + 1 == len(pieces)
-            if last or held > chunk and waiting[pieces[n + 1][0]][0] != waiting[c][0]:
-                for x, r, d in shared_strings([(piece, least[name]) for name, _, piece in some]):
-                    known.setdefault(some[x][0], []).append((some[x][1] + r, d))
+        # equal pieces of a gram are one piece of the least document that has it; suffix arrays compare those that differ
+        by_piece: dict[int, dict[bytes, list[tuple[tuple[int, bytes], int]]]] = {}
+        for c, i, piece in common_pieces([b for _, b in waiting]):
+            by_piece.setdefault(waiting[c][0], {}).setdefault(piece, []).append((waiting[c], i))
+        some: list[tuple[bytes, list[tuple[tuple[int, bytes], int]], int]] = []
+        held, left = 0, len(by_piece)
+        for own in by_piece.values():
+            left -= 1
+            for piece, places in own.items():
+                first = min(least[name] for name, _ in places)
+                if len(places) > 1:
+                    for name, i in places:
+                        known.setdefault(name, []).extend((i + r, first) for r in range(len(piece) - LENGTH + 1))
+                if len(own) > 1:
+                    some.append((piece, places, first))
+                    held += len(piece)
+            if some and (held > chunk or not left):
+                for x, r, d in shared_strings([(piece, first) for piece, _, first in some]):
+                    for name, i in some[x][1]:
+                        known.setdefault(name, []).append((i + r, d))
                 some, held = [], 0
         waiting, size = [], 0
 
@@ -287,7 +299,7 @@ def repeated_grams(docs: DataFrame, buckets: int, bits: int) -> bytes:
             yield pd.DataFrame({"words": out})
 
     packed = np.zeros(1 << (bits - 3), np.uint8)
-    for (blob,) in found.mapInPandas(pack, "words binary").toLocalIterator():
+    for (blob,) in cut(found.mapInPandas(pack, "words binary")).toLocalIterator():
         raw = zstandard.decompress(blob)
         n = len(raw) // 9
         names, value = np.frombuffer(raw[: 8 * n], np.int64), np.frombuffer(raw[8 * n :], np.uint8)
@@ -307,21 +319,34 @@ def repeated_starts(docs: DataFrame, buckets: int, bits: int = 26, remembered: i
     seen_twice = docs.sparkSession.sparkContext.broadcast(repeated_grams(docs, buckets, bits))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, known = np.frombuffer(seen_twice.value, np.uint8), {}
+        marks, known, whole_texts = np.frombuffer(seen_twice.value, np.uint8), {}, {}
         packer = zstandard.ZstdCompressor(3)
+        docs_, texts_, grams, owners, starts, bodies, here, held = [], [], [], [], [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = [(k, None, None, packer.compress(x)) for k, x in dealt_contexts(buckets, docs_, texts_, grams, owners, starts, bodies)] + here
+            for x in (docs_, texts_, grams, owners, starts, bodies, here):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string(), pa.binary()))], names=["bucket", "doc_id", "text_id", "blob"])
+
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                sent: dict[int, list[tuple]] = {}
-                here = []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     raw = raw_of(text)
+                    if len(raw) < LENGTH:
+                        continue
+                    digest = xxhash.xxh3_128_digest(raw)
+                    first = whole_texts.get(digest)
+                    if first is not None and first <= doc:
+                        continue  # what it holds, this task has sent for a smaller document; the copy itself goes whole
+                    whole_texts[digest] = doc
                     h, s, e = anchors(raw)
                     top = (h >> np.uint64(64 - bits)).astype(np.int64)
                     keep = (marks[top >> 3] >> (top & 7)) & 1 > 0
                     if not keep.any():
                         continue
-                    tid, own = text_id(raw), []
+                    tid, own, n = text_id(raw), [], len(bodies)
                     for g, i, j in zip(h[keep].tolist(), s[keep].tolist(), e[keep].tolist()):
                         body = raw[i : j + LENGTH - 1]
                         name = xxhash.xxh3_128_digest(body)
@@ -330,13 +355,24 @@ def repeated_starts(docs: DataFrame, buckets: int, bits: int = 26, remembered: i
                             own += (i, j)
                             continue
                         known[name] = doc
-                        sent.setdefault(g % buckets, []).append((g, doc, tid, i, body))
+                        grams.append(g)
+                        starts.append(i)
+                        bodies.append(body)
+                        held += len(body)
+                    if len(bodies) > n:
+                        owners.extend([len(docs_)] * (len(bodies) - n))
+                        docs_.append(doc)
+                        texts_.append(tid)
                     if own:
-                        here.append((str(doc), str(tid), np.array(own, np.int64).tobytes()))
+                        here.append((tid % buckets, str(doc), str(tid), np.array(own, np.int64).tobytes()))
                     if len(known) > remembered:
                         known.clear()
-                rows = [(k, None, None, packer.compress(pack_contexts(x))) for k, x in sent.items()] + [(int(x[0]) % buckets, *x) for x in here]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string(), pa.binary()))], names=["bucket", "doc_id", "text_id", "blob"])
+                    if len(whole_texts) > remembered:
+                        whole_texts.clear()
+                    if held > FLUSH_BYTES or len(docs_) == 1 << 16:
+                        yield flush()
+                        held = 0
+        yield flush()
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
         grams, docs_, texts, starts, bodies = [], [], [], [], []
@@ -361,18 +397,32 @@ def repeated_starts(docs: DataFrame, buckets: int, bits: int = 26, remembered: i
     return settled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text_id").cast("long").alias("text_id"), F.col("blob").alias("ranges"))
 
 
-def pack_contexts(rows: list[tuple[int, int, int, int, bytes]]) -> bytes:
-    head = np.array([len(rows)], np.int64).tobytes()
-    columns = [np.array([r[i] for r in rows], np.uint64 if i == 0 else np.int64).tobytes() for i in range(4)]
-    return b"".join([head, *columns, np.array([len(r[4]) for r in rows], np.int64).tobytes(), *(r[4] for r in rows)])
+def dealt_contexts(buckets: int, docs: list[int], texts: list[int], grams: list[int], owners: list[int], starts: list[int], bodies: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Contexts by bucket of their gram, packed: names of the documents once, then grams, owners (places in that list), starts, sizes,
+    bodies; small numbers take two or four bytes."""
+    if not bodies:
+        return
+    g, o = np.array(grams, np.uint64), np.array(owners, np.int64)
+    names = np.array([docs, texts], np.int64)
+    at, sizes = np.array(starts, np.uint32), np.fromiter(map(len, bodies), np.uint32, len(bodies))
+    bucket = (g % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        used, place = np.unique(o[own], return_inverse=True)
+        head = np.array([len(used), len(own)], np.int64).tobytes()
+        parts = [names[:, used].tobytes(), g[own].tobytes(), place.astype(np.uint16).tobytes(), at[own].tobytes(), sizes[own].tobytes()]
+        yield int(bucket[own[0]]), b"".join([head, *parts, *(bodies[i] for i in own.tolist())])
 
 
 def unpack_contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    g = np.frombuffer(raw, np.uint64, n, 8)
-    d, t, s, sizes = (np.frombuffer(raw, np.int64, n, 8 * (1 + n * i)) for i in range(1, 5))
-    ends = (8 * (1 + 5 * n) + np.cumsum(sizes)).tolist()
-    return g, d, t, s, [raw[e - z : e] for e, z in zip(ends, sizes.tolist())]
+    """Grams, documents, text ids, starts and bodies of a blob of ``dealt_contexts``."""
+    k, n = np.frombuffer(raw, np.int64, 2).tolist()
+    names = np.frombuffer(raw, np.int64, 2 * k, 16).reshape(2, k)
+    at = 16 + 16 * k
+    g, place = np.frombuffer(raw, np.uint64, n, at), np.frombuffer(raw, np.uint16, n, at + 8 * n)
+    starts, sizes = np.frombuffer(raw, np.uint32, n, at + 10 * n).astype(np.int64), np.frombuffer(raw, np.uint32, n, at + 14 * n).astype(np.int64)
+    ends = (at + 18 * n + np.cumsum(sizes)).tolist()
+    return g, names[0, place], names[1, place], starts, [raw[e - z : e] for e, z in zip(ends, sizes.tolist())]
 
 
 def strip_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -384,7 +434,6 @@ def strip_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     named = docs.where("doc_id is not null")
 
@@ -392,9 +441,12 @@ def strip_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         for b in batches:
             raws = [raw_of(t) for t in b.column(1).to_pylist()]
             digests = [xxhash.xxh3_128_digest(r) for r in raws]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_id(r) for r in raws], pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "text_id", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_id(r) for r in raws], pa.int64()), pa.array(digests, pa.binary()), pa.array(list(map(len, raws)), pa.int64())], names=["doc_id", "text_id", "digest", "size"])
 
-    texts = cut(named.mapInArrow(names, "doc_id long, text_id long, digest binary"))
+    texts = cut(named.mapInArrow(names, "doc_id long, text_id long, digest binary, size long"))
+    if buckets is None:
+        held = texts.agg(F.sum("size")).first()[0] or 0
+        buckets = max(LEAST_BUCKETS, held // BUCKET_BYTES)
     owners = cut(texts.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     every = F.lit(np.array([0, 1 << 60], np.int64).tobytes())
     copies = texts.join(owners, "digest").where("doc_id > owner").select("doc_id", "text_id", every.alias("ranges"))
