@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.operators.retrieval import FEATURES
+from pairlens.operators.retrieval import FEATURES, fold_scale
 
 GROUPS = (("quantity", "price"), ("discount", "tax"))
 CONDITIONS = ("same_task", "same_subject_added", "all")
@@ -19,19 +19,6 @@ def reverse_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select("subject", "task", *[(F.col(f"x_{c}") + F.col(f"y_{c}")).alias(f"x_{c}") for c in FEATURES], *[(-F.col(f"y_{c}")).alias(f"y_{c}") for c in FEATURES])
 
 
-def fold_scale(pairs: DataFrame) -> DataFrame:
-    """Mean and sample deviation of each feature over off and on states of all other subjects, from totals less the subject's own."""
-    states = pairs.select("subject", F.explode(F.array(*[F.struct(*[(F.col(f"x_{c}") + (F.col(f"y_{c}") if on else F.lit(0.0))).alias(c) for c in FEATURES]) for on in (False, True)])).alias("v")).select("subject", "v.*")
-    own = states.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in FEATURES], *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in FEATURES])
-    totals = own.agg(F.sum("n").alias("n_all"), *[F.sum(f"{k}_{c}").alias(f"{k}a_{c}") for k in "sq" for c in FEATURES])
-    m, out = F.col("n_all") - F.col("n"), ["subject"]
-    for c in FEATURES:
-        mean = (F.col(f"sa_{c}") - F.col(f"s_{c}")) / m
-        sd = F.sqrt(F.greatest((F.col(f"qa_{c}") - F.col(f"q_{c}") - m * mean * mean) / (m - 1), F.lit(0.0)))
-        out += [mean.alias(f"m_{c}"), F.when(sd >= 1e-8, sd).otherwise(F.lit(1.0)).alias(f"d_{c}")]
-    return own.crossJoin(totals).where(m > 1).select(*out)  # totals: one row
-
-
 def cosine_distance(a: list[Column], b: list[Column]) -> Column:
     dot, x, y = (sum((u * v for u, v in zip(p, q)), F.lit(0.0)) for p, q in ((a, b), (a, a), (b, b)))
     size = F.sqrt(x) * F.sqrt(y)

@@ -23,32 +23,27 @@ def pairs(vectors: DataFrame) -> DataFrame:
     return both.select("subject", "task", *[f"x_{c}" for c in FEATURES], *[F.round(F.col(f"on_{c}") - F.col(f"x_{c}"), 8).alias(f"y_{c}") for c in FEATURES])
 
 
-def held_out_scale(table: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean and deviation of each column over all other subjects' rows, from sums: all rows less the subject's own."""
-    sums = [f(F.col(c)).alias(f"{n}_{c}") for c in columns for n, f in (("s", F.sum), ("q", lambda x: F.sum(x * x)))]
-    own = table.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), *sums)
-    every = table.agg(F.count(F.lit(1)).alias("n_all"), *[F.sum(c).alias(f"sa_{c}") for c in columns], *[F.sum(F.col(c) * F.col(c)).alias(f"qa_{c}") for c in columns])
-    # one row of totals
-    both = own.crossJoin(F.broadcast(every)).withColumn("m", F.col("n_all") - F.col("n"))
-    out = ["subject"]
-    for c in columns:
-        mean = (F.col(f"sa_{c}") - F.col(f"s_{c}")) / F.col("m")
-        var = (F.col(f"qa_{c}") - F.col(f"q_{c}")) / F.col("m") - mean * mean
-        sd = F.sqrt(F.greatest(var, F.lit(0.0)))
-        out += [mean.alias(f"mean_{c}"), F.when(sd > 1e-12, sd).otherwise(F.lit(1.0)).alias(f"sd_{c}")]
-    return both.select(*out)
+def fold_scale(pairs: DataFrame) -> DataFrame:
+    """Mean and sample deviation of each feature over off and on states of all other subjects, from totals less the subject's own."""
+    states = pairs.select("subject", F.explode(F.array(*[F.struct(*[(F.col(f"x_{c}") + (F.col(f"y_{c}") if on else F.lit(0.0))).alias(c) for c in FEATURES]) for on in (False, True)])).alias("v")).select("subject", "v.*")
+    own = states.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in FEATURES], *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in FEATURES])
+    totals = own.agg(F.sum("n").alias("n_all"), *[F.sum(f"{k}_{c}").alias(f"{k}a_{c}") for k in "sq" for c in FEATURES])
+    m, out = F.col("n_all") - F.col("n"), ["subject"]
+    for c in FEATURES:
+        mean = (F.col(f"sa_{c}") - F.col(f"s_{c}")) / m
+        sd = F.sqrt(F.greatest((F.col(f"qa_{c}") - F.col(f"q_{c}") - m * mean * mean) / (m - 1), F.lit(0.0)))
+        out += [mean.alias(f"m_{c}"), F.when(sd >= 1e-8, sd).otherwise(F.lit(1.0)).alias(f"d_{c}")]
+    return own.crossJoin(F.broadcast(totals)).where(m > 1).select(*out)  # totals: one row
 
 
 def ranked_candidates(table: DataFrame) -> DataFrame:
     """Candidates of every pair among the pairs of its task, ranked by distance of the scaled vectors; ties go to the smaller subject.
 
-    The query is the off state, a candidate's vector its off state plus its change; scaling is fitted without the query's subject.
+    The query is the off state, a candidate's vector its off state plus its change; scaling is fitted to both states of all other subjects (a subject without others has no row).
     """
-    columns = [f"x_{c}" for c in FEATURES] + [f"y_{c}" for c in FEATURES]
-    scale = held_out_scale(table, columns)
-    query = table.join(scale, "subject").select(F.col("subject").alias("query"), "task", *[F.col(f"x_{c}").alias(f"q_{c}") for c in FEATURES], *[f"sd_x_{c}" for c in FEATURES])
+    query = table.join(fold_scale(table), "subject").select(F.col("subject").alias("query"), "task", *[F.col(f"x_{c}").alias(f"q_{c}") for c in FEATURES], *[f"d_{c}" for c in FEATURES])
     other = table.select(F.col("subject").alias("candidate"), "task", *[(F.col(f"x_{c}") + F.col(f"y_{c}")).alias(f"c_{c}") for c in FEATURES])
-    distance = sum((((F.col(f"q_{c}") - F.col(f"c_{c}")) / F.col(f"sd_x_{c}")) ** 2 for c in FEATURES), F.lit(0.0))
+    distance = sum((((F.col(f"q_{c}") - F.col(f"c_{c}")) / F.col(f"d_{c}")) ** 2 for c in FEATURES), F.lit(0.0))
     scored = query.join(other, "task").select("task", "query", "candidate", F.round(F.sqrt(distance), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("task", "query").orderBy("score", "candidate"))
     return scored.withColumn("rank", rank).withColumn("is_true", F.col("query") == F.col("candidate"))
@@ -76,5 +71,5 @@ def subject_left_out(ranked: DataFrame) -> DataFrame:
     true = ranked.where("is_true").select(F.col("query").alias("subject"), (F.col("rank") == 1).cast("double").alias("hit"), (1 / F.col("rank")).alias("rr"))
     own = true.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"), F.sum("rr").alias("r"))
     every = true.agg(F.count(F.lit(1)).alias("na"), F.sum("hit").alias("ha"), F.sum("rr").alias("ra"))
-    both = own.crossJoin(F.broadcast(every))
+    both = own.crossJoin(F.broadcast(every)).where("na > n")
     return both.select("subject", (F.col("na") - F.col("n")).alias("n_queries"), F.round((F.col("ha") - F.col("h")) / (F.col("na") - F.col("n")), 6).alias("top1"), F.round((F.col("ra") - F.col("r")) / (F.col("na") - F.col("n")), 6).alias("mrr"))
