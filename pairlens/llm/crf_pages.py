@@ -18,7 +18,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NO_TEXT = frozenset("head template noscript svg iframe object select textarea button".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|xmp|title)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S | re.I)
+_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|xmp|title)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/]?[a-zA-Z][^<>]*\Z""", re.S | re.I)
 _NAMED = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -26,7 +26,7 @@ _WORD = re.compile(r"[a-z]+")
 def leaf_blocks(page: str | None) -> list[tuple[str, list[str], str | None]]:
     """Leaf blocks in page order: text (references decoded, white space as single blanks, trimmed, never empty), features, label.
 
-    A block ends where any element that isn't inline starts or ends. The label is ``data-y`` of the nearest ancestor (training).
+    A block ends where any element that isn't inline starts or ends; a tag that the page's end cuts off is no text. The label is ``data-y`` of the nearest ancestor (training).
     """
     out: list[tuple[str, list[str], str | None]] = []
     stack: list[tuple[str, tuple[str, ...], str | None]] = []
