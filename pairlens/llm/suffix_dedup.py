@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +13,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import cut, table
+from pairlens.llm.common import cut, give_back, table
 
 LENGTH = 50
 GRAM = 20
-LEAST_BUCKETS, BUCKET_BYTES, FLUSH_BYTES = 256, 32 << 20, 16 << 20
+#: Texts that several documents have (some 100 bytes each) up to which they are broadcast.
+FEW_OWNERS = 1 << 17
+LEAST_BUCKETS, BUCKET_BYTES, FLUSH_BYTES = 256, 32 << 20, 4 << 20
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -220,7 +223,7 @@ def resolve(grams: np.ndarray, bodies: list[bytes], docs: np.ndarray, texts: np.
         if len(own) > 1:
             waiting += [(g, b) for b in own]
             size += sum(map(len, own))
-            if size > 16 * chunk:
+            if size > 4 * chunk:
                 flush()
     if waiting:
         flush()
@@ -307,7 +310,7 @@ def repeated_grams(docs: DataFrame, buckets: int, bits: int) -> bytes:
     return packed.tobytes()
 
 
-def repeated_starts(docs: DataFrame, buckets: int, bits: int = 26, remembered: int = 300_000) -> DataFrame:
+def repeated_starts(docs: DataFrame, buckets: int, bits: int = 27, remembered: int = 100_000) -> DataFrame:
     """``doc_id``, ``text_id``, ``ranges`` (pairs of longs: starts of 50-byte strings that a smaller doc_id holds), several rows a document.
 
     Every 50-byte string contains the gram of least hash among its grams; equal strings choose equal grams. Only strings whose gram
@@ -373,6 +376,9 @@ def repeated_starts(docs: DataFrame, buckets: int, bits: int = 26, remembered: i
                         yield flush()
                         held = 0
         yield flush()
+        known.clear()
+        whole_texts.clear()
+        give_back()
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
         grams, docs_, texts, starts, bodies = [], [], [], [], []
@@ -386,6 +392,7 @@ def repeated_starts(docs: DataFrame, buckets: int, bits: int = 26, remembered: i
             texts.append(t)
             starts.append(s)
             bodies += b
+        give_back()
         per: dict[tuple[int, int], list[int]] = {}
         for d, t, low, high in resolve(np.concatenate(grams), bodies, np.concatenate(docs_), np.concatenate(texts), np.concatenate(starts)):
             per.setdefault((d, t), []).extend((low, high))
@@ -440,7 +447,7 @@ def strip_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raws = [raw_of(t) for t in b.column(1).to_pylist()]
-            digests = [xxhash.xxh3_128_digest(r) for r in raws]
+            digests = [hashlib.md5(r, usedforsecurity=False).digest() for r in raws]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_id(r) for r in raws], pa.int64()), pa.array(digests, pa.binary()), pa.array(list(map(len, raws)), pa.int64())], names=["doc_id", "text_id", "digest", "size"])
 
     texts = cut(named.mapInArrow(names, "doc_id long, text_id long, digest binary, size long"))
@@ -450,7 +457,12 @@ def strip_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     owners = cut(texts.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     every = F.lit(np.array([0, 1 << 60], np.int64).tobytes())
     copies = texts.join(owners, "digest").where("doc_id > owner").select("doc_id", "text_id", every.alias("ranges"))
-    marks = copies.unionByName(repeated_starts(named, buckets)).groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "ranges")).alias("marks"))
+    # what a copy holds, the owner of its text holds too: copies need not be searched where their owners are few enough to broadcast
+    searched = named
+    if owners.count() <= FEW_OWNERS:
+        copy = (F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("digest")) & (F.col("doc_id") > F.col("owner"))
+        searched = named.join(F.broadcast(owners.select("digest", "owner")), copy, "left_anti")
+    marks = copies.unionByName(repeated_starts(searched, buckets)).groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "ranges")).alias("marks"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
