@@ -24,5 +24,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: The exact search in full: every query against every other row.
+_TOPK = """with v as (select cast(vec_id as bigint) as id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as cells from embeddings
+        where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+    s as (select q.id as query_id, v.id as vec_id, cast(list_sum([q.cells[i] * v.cells[i] for i in range(1, len(q.cells) + 1)]) as bigint) as score from v q join v on v.id <> q.id where q.id % 50 = 0)
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s
+    qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_topk": _TOPK}

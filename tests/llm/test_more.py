@@ -4,11 +4,12 @@ import random
 import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow.orc
 import pytest
 
-from pairlens.llm import common, fuzzy_lines, orc_tokens, rank_langid, shared_keys, template_decontam
+from pairlens.llm import common, fuzzy_lines, orc_tokens, rank_langid, registry, shared_keys, template_decontam
 
 
 def test_language_costs_match_plain_sums(spark):
@@ -129,3 +130,12 @@ def test_shared_keys_keep_every_key_of_two_nodes(spark):
     for k, n in zip(keys.view(np.int64).tolist(), nodes.tolist()):
         groups.setdefault(k, set()).add(n)
     assert got == {(k, n, 2 * n, min(g)) for k, g in groups.items() if len(g) > 1 for n in g}
+
+
+def test_top_k_matches_its_sql(spark):
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{data}/embeddings.parquet'")
+    want = con.execute(registry.oracle_sql()["op3_topk"]).fetchall()
+    got = registry.queries()["op3_topk"](spark, data).select("query_id", "rank", "vec_id", "score").collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
