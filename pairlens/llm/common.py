@@ -6,6 +6,7 @@ import ctypes
 import gc
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -59,6 +60,26 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
 
 
+class Scratch:
+    """Written tables in the shared folder, deleted when the block ends: ``with Scratch(spark) as keep: t = keep(df)``."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Callable[[DataFrame], DataFrame]:
+        return self.keep
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        with tidy(self.spark):
+            df.write.parquet(f"{self.base}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{self.n}")
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
