@@ -200,7 +200,7 @@ class Automaton:
             if c in moves[v]:
                 v = moves[v][c]
                 matched += 1
-            while length[link[v]] >= window:
+            while v and length[link[v]] >= window:
                 v = link[v]
                 matched = length[v]
             if t >= window - 1:
