@@ -65,20 +65,30 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.at: dict[int, str] = {}
 
-    def __enter__(self) -> Callable[[DataFrame], DataFrame]:
-        return self.keep
+    def __enter__(self) -> Scratch:
+        return self
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
         with tidy(self.spark):
             df.write.parquet(f"{self.base}/{self.n}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{self.n}")
+        kept = self.spark.read.schema(df.schema).parquet(f"{self.base}/{self.n}")
+        self.at[id(kept)] = f"{self.base}/{self.n}"
+        return kept
 
-    def __exit__(self, *_: object) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+    def drop(self, kept: DataFrame) -> None:
+        """Deletes one of the tables, once what was made of it is kept too."""
+        self._delete(self.at.pop(id(kept)))
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def __exit__(self, *_: object) -> None:
+        self._delete(self.base)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -277,7 +277,10 @@ def strip_windows(docs: DataFrame, shard_words: int = SHARD_WORDS, hot_pieces: i
     with Scratch(docs.sparkSession) as keep:
         pieces = keep(named.mapInArrow(_pieces, "anchor long, piece long, doc_id long, text_id int, at long"))
         shared = pieces.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-        met = keep(pieces.join(shared.select("anchor", (F.col("n") > hot_pieces).alias("hot")), "anchor"))
+        # kept by itself, so that the join reads both sides through exchanges and may split an anchor's pieces
+        shared = keep(shared.select("anchor", (F.col("n") > hot_pieces).alias("hot")))
+        met = keep(pieces.join(shared, "anchor"))
+        keep.drop(pieces)
         least = met.groupBy("anchor", "piece", "hot").agg(F.min(F.struct("doc_id", "text_id", "at")).alias("r")).select("anchor", "piece", "hot", "r.*")
         wanted = least.groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "at", "anchor", "piece", "hot")).alias("wanted"))
         words = named.join(wanted, "doc_id").select("doc_id", "text_id", "text", "wanted")
