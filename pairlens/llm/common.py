@@ -73,7 +73,7 @@ class Scratch:
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
         with tidy(self.spark):
-            df.write.parquet(f"{self.base}/{self.n}")
+            df.write.option("compression", "zstd").parquet(f"{self.base}/{self.n}")
         kept = self.spark.read.schema(df.schema).parquet(f"{self.base}/{self.n}")
         self.at[id(kept)] = f"{self.base}/{self.n}"
         return kept

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ def stretches(raw: bytes, most: int) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def coded(raw: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Codes of words in order (-1 between pieces), the distinct words, and how often each occurs."""
+def coded(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """Codes of words in order (-1 between pieces), and the distinct words."""
     numbers: defaultdict[bytes, int] = defaultdict()
     numbers.default_factory = numbers.__len__
     numbers[b"\n"], numbers[b""] = 0, 1
@@ -39,18 +40,22 @@ def coded(raw: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     codes = np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens))
     codes = codes[codes != 1] - 2
     codes[codes < 0] = -1
-    return codes, list(numbers)[2:], np.bincount(codes[codes >= 0], minlength=len(numbers) - 2)
+    return codes, list(numbers)[2:]
 
 
 def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) rows as batches of one language: ``lang``, ``codes``, ``key`` (distinct words), ``n``."""
+    """(lang, text) rows as batches of one language: ``batch``, ``lang``, ``codes``, ``words`` (the distinct ones, by code)."""
     held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
+    number = TaskContext.get().partitionId() << 32
 
     def out(lang: str) -> pa.RecordBatch:
-        codes, words, n = coded(b"\n".join(held.pop(lang)))
+        nonlocal number
+        number += 1
+        codes, words = coded(b"\n".join(held.pop(lang)))
         size.pop(lang)
-        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([codes.tobytes()], pa.binary()), pa.array([[w.decode() for w in words]], pa.list_(pa.string())), pa.array([n], pa.list_(pa.int64()))], names=["lang", "codes", "key", "n"])
+        words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.binary()).cast(pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lang]), pa.array([codes.tobytes()], pa.binary()), words], names=["batch", "lang", "codes", "words"])
 
     for b in rows:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -65,46 +70,76 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def paired(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of adjacent pairs (-1: none), the pairs' left and right ids, and how often each pair occurs.
+    """Place by place the number of the pair that starts there (-1: none); the pairs' left and right ids, and how often each occurs."""
+    left, right = codes[:-1], codes[1:]
+    both = np.flatnonzero((left >= 0) & (right >= 0))
+    values, flat, n = np.unique(left[both].astype(np.int64) * max(1, len(ids)) + right[both], return_inverse=True, return_counts=True)
+    pairs = np.full(len(codes), -1, np.int32)
+    pairs[both] = flat
+    return pairs, ids[values // max(1, len(ids))], ids[values % max(1, len(ids))], n
+
+
+def compact(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Codes as indexes into ``places``, the codes that have a name; other places become -1, a run of these just one."""
+    if not len(places):
+        return np.empty(0, np.int32)
+    new = np.full(int(max(places.max(), codes.max(initial=0))) + 2, -1, np.int32)
+    new[places] = np.arange(len(places))
+    out = new[codes]
+    keep = out >= 0
+    keep[1:] |= out[:-1] >= 0
+    return out[keep]
+
+
+def _words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of the first level: each batch's distinct words."""
+    for b in rows:
+        for k in range(b.num_rows):
+            words, codes = b.column(3)[k].values, np.frombuffer(b.column(2)[k].as_py(), np.int32)
+            n = np.bincount(codes[codes >= 0], minlength=len(words))
+            yield from _entries(pa.RecordBatch.from_arrays([b.column(1).take(pa.array(np.full(len(n), k))), words, b.column(0).take(pa.array(np.full(len(n), k))), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["lang", "word", "batch", "place", "n"]))
+    give_back()
 
-    ``ids``: id of each code, -1 for those that have no name. Several places without a pair become one, as nothing spans them.
-    """
-    named = np.full(len(codes) + 1, -1, np.int64)
-    held = codes >= 0
-    named[:-1][held] = np.where(ids[codes[held]] >= 0, codes[held], -1)
-    left, right = named[:-1], named[1:]
-    both = (left >= 0) & (right >= 0)
-    last = ~both & np.append(True, both[:-1]) if len(both) else both
-    keep = both | last
-    values, flat, n = np.unique(left[both] * max(1, len(ids)) + right[both], return_inverse=True, return_counts=True)
-    out = np.full(len(codes), -1, np.int32)
-    out[both] = flat
-    return out[keep], ids[values // max(1, len(ids))], ids[values % max(1, len(ids))], n
-
-
-def _next_level(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(batch, codes, size, names) rows to the next level: ``batch``, ``codes``, ``key`` (pairs of ids), ``n``."""
-    pair = pa.struct([("left", pa.int64()), ("right", pa.int64())])
+
+def _pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of a further level: each batch's distinct pairs of adjacent names."""
     for b in rows:
         for k in range(b.num_rows):
-            codes = np.frombuffer(b.column(1)[k].as_py(), np.int32)
-            names = b.column(3)[k].values
-            ids = np.full(b.column(2)[k].as_py(), -1, np.int64)
-            ids[names.field("place").to_numpy()] = names.field("id").to_numpy()
-            codes, left, right, n = paired(codes, ids)
-            key = pa.ListArray.from_arrays(pa.array([0, len(left)], pa.int32()), pa.StructArray.from_arrays([pa.array(left), pa.array(right)], fields=list(pair)))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([codes.tobytes()], pa.binary()), key, pa.array([n], pa.list_(pa.int64()))], names=["batch", "codes", "key", "n"])
+            _, left, right, n = paired(np.frombuffer(b.column(1)[k].as_py(), np.int32), b.column(2)[k].values.to_numpy())
+            yield from _entries(pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), b.column(0).take(pa.array(np.full(len(n), k))), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["left", "right", "batch", "place", "n"]))
     give_back()
 
 
-def entries(level: DataFrame) -> DataFrame:
-    return level.select("batch", "lang", F.posexplode(F.arrays_zip("key", "n")).alias("place", "e")).select("batch", "lang", "place", "e.key", "e.n") if "lang" in level.columns else level.select("batch", F.posexplode(F.arrays_zip("key", "n")).alias("place", "e")).select("batch", "place", "e.key", "e.n")
+def _entries(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, rows.num_rows, 1 << 16):
+        yield rows.slice(at, 1 << 16)
+
 
+def _renamed(first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(batch, codes, ids, names) rows to ``batch``, ``codes``, ``ids`` of the entries that have a name."""
 
-def named(level: DataFrame, by: list[str], least: int) -> DataFrame:
-    """Names of what occurs often enough: ``by``, ``f``, ``id``."""
-    counted = entries(level).groupBy(*by).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return cut(counted.withColumn("id", F.monotonically_increasing_id()))
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for k in range(b.num_rows):
+                codes, names = np.frombuffer(b.column(1)[k].as_py(), np.int32), b.column(3)[k].values
+                if not first:
+                    codes = paired(codes, b.column(2)[k].values.to_numpy())[0]
+                ids = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names.field("id"))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([compact(codes, names.field("place").to_numpy()).tobytes()], pa.binary()), ids], names=["batch", "codes", "ids"])
+        give_back()
+
+    return run
+
+
+def named(entries: DataFrame, by: list[str], least: int, keep: Scratch) -> DataFrame:
+    """Entries that occur often enough over all batches, with ``f``, ``id``, and ``leads`` on one entry of each name.
+
+    One exchange counts and names: an entry is a batch's, so the most frequent word or pair sends a row a batch.
+    """
+    mine = Window.partitionBy(*by)
+    dealt = entries.repartition(*by).withColumn("uid", F.monotonically_increasing_id())
+    counted = dealt.withColumn("f", F.sum("n").over(mine)).withColumn("id", F.min("uid").over(mine)).where(F.col("f") >= least)
+    return keep(counted.select(*by, "batch", "place", "f", "id", (F.col("uid") == F.col("id")).alias("leads")))
 
 
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -116,25 +151,28 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tupl
 
     Texts are cut into batches of one language, in which a phrase's occurrences are one entry: only entries are exchanged, so the
     most frequent word costs a row a batch. At each level batches hold codes of the named phrases in order; adjacent ones are
-    counted over all batches, frequent pairs get ids, and ids are joined back to the batches' entries.
+    counted over all batches, frequent pairs get ids, and the ids go back to the batches' entries. Ids are unique within a level.
     """
     plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"))
     found: list[DataFrame] = []
     with Scratch(docs.sparkSession) as keep:
-        level = keep(plain.mapInArrow(_batches, "lang string, codes binary, key array<string>, n array<long>").withColumn("batch", F.monotonically_increasing_id()))
-        totals = cut(level.select("lang", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
-        names = named(level, ["lang", "key"], least)
-        whole = names.select("lang", "id", F.lit(1).alias("size"), F.array("key").alias("words"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.array("f").alias("heads"), F.array("f").alias("tails"))
+        state = keep(plain.mapInArrow(_batches, "batch long, lang string, codes binary, words array<string>"))
+        words = state.mapInArrow(_words, "lang string, word string, batch long, place int, n long")
+        totals = cut(words.groupBy("lang").agg(F.sum("n").alias("n")))
+        names = named(words, ["lang", "word"], least, keep)
+        whole = cut(names.where("leads").select("lang", "id", F.array("word").alias("words"), "f", F.array("f").alias("heads"), F.array("f").alias("tails")))
         for size in range(2, longest + 1):
-            by = ["lang", "key"] if size == 2 else ["key"]
-            ids = entries(level).join(names.select(*by, "id"), by).groupBy("batch").agg(F.collect_list(F.struct("place", "id")).alias("names"))
-            level = keep(level.select("batch", "codes", F.size("key").alias("size")).join(ids, "batch").mapInArrow(_next_level, "batch long, codes binary, key array<struct<left:long,right:long>>, n array<long>"))
-            names = named(level, ["key"], least)
+            ids = names.groupBy("batch").agg(F.collect_list(F.struct("place", "id")).alias("names"))
+            old = state.select("batch", "codes", F.lit(None).cast("array<long>").alias("ids") if size == 2 else F.col("ids"))
+            before, state = state, keep(old.join(ids, "batch").mapInArrow(_renamed(size == 2), "batch long, codes binary, ids array<long>"))
+            keep.drop(before)
+            keep.drop(names)
+            names = named(state.mapInArrow(_pairs, "left long, right long, batch long, place int, n long"), ["left", "right"], least, keep)
             a, b = (whole.select(*(F.col(c).alias(f"{side}_{c}") for c in ("lang", "id", "words", "heads", "tails"))) for side in ("a", "b"))
-            whole = names.select("id", "f", "key.left", "key.right").join(a, F.col("left") == F.col("a_id")).join(b, F.col("right") == F.col("b_id"))
+            both = names.where("leads").select("id", "f", "left", "right").join(a, F.col("left") == F.col("a_id")).join(b, F.col("right") == F.col("b_id"))
             # heads: f of the first 1, 2, .. words; tails: f of the last 1, 2, .. words; both end with the phrase itself
-            words = F.concat("a_words", F.slice("b_words", size - 1, 1))
-            whole = cut(whole.select(F.col("a_lang").alias("lang"), "id", F.lit(size).alias("size"), words.alias("words"), "f", "left", "right", F.concat("a_heads", F.array("f")).alias("heads"), F.concat("b_tails", F.array("f")).alias("tails")))
+            grown = {"words": F.concat("a_words", F.slice("b_words", size - 1, 1)), "heads": F.concat("a_heads", F.array("f")), "tails": F.concat("b_tails", F.array("f"))}
+            whole = cut(both.select(F.col("a_lang").alias("lang"), "id", F.lit(size).alias("size"), "f", "left", "right", *(e.alias(c) for c, e in grown.items())))
             found.append(whole)
     every = found[0]
     for more in found[1:]:
