@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairlens.operators import folds as L
+from pairlens.operators import retrieval as R
 from pairlens.operators import spectra as S
 
 RATE, STEP = 100.0, 600
+#: What orders are predicted from, and what they are freed of.
+FEATURES = ["n_lines", "quantity", "price", "discount", "balance"]
+FACTORS, FREED = ["priority", "status", "segment"], ["total", "quantity", "price", "discount"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +30,71 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
+def orders_of(spark: SparkSession, d: str) -> DataFrame:
+    """A row an order that has lines: its customer's nation as subject, total, means of its lines; a balance below 0 is missing."""
+    names = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount"}
+    lines = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).cast("double").alias("n_lines"), *(F.round(F.avg(c), 8).alias(n) for n, c in names.items()))
+    whole = _table(spark, d, "orders").join(_table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").join(lines, "o_orderkey")
+    balance = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance")
+    return whole.select("o_orderkey", F.col("c_nationkey").alias("subject"), F.col("o_totalprice").alias("total"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), F.col("c_mktsegment").alias("segment"), "n_lines", *names, balance)
+
+
+def _ridge(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return L.ridge(orders_of(spark, d), "subject", "total", FEATURES)
+
+
+def _ridge_predictions(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_ridge(spark, d)[0].select("o_orderkey", "subject", "total", "y_pred", "fold_status"), 2)
+
+
+def _ridge_weights(spark: SparkSession, d: str) -> DataFrame:
+    named = F.explode(F.arrays_zip(F.array(*map(F.lit, FEATURES)).alias("feature"), F.col("weights").alias("weight"), F.col("fills").alias("fill"))).alias("e")
+    return _rounded(_ridge(spark, d)[1].where("fold_status = 'ok'").select("subject", "n", named).select("subject", "n", "e.feature", "e.weight", "e.fill"), 4)
+
+
+def _ridge_metrics(spark: SparkSession, d: str) -> DataFrame:
+    ok, error = _ridge(spark, d)[0].where("fold_status = 'ok'"), F.col("y_pred") - F.col("total")
+    return ok.groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(error)), 3).alias("mae"), F.round(F.sqrt(F.avg(error * error)), 3).alias("rmse"), F.round(F.corr("y_pred", "total"), 5).alias("pearson"))
+
+
+def _residuals(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(L.residuals(orders_of(spark, d), "subject", FACTORS, FREED).select("o_orderkey", "subject", *(f"r_{f}" for f in FREED)), 5)
+
+
+def _scores(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """Distances of every off state from the on states of its task, by the metric that the other subjects' states give."""
+    pairs = R.pairs(R.state_vectors(_table(spark, d, "lineitem"), _table(spark, d, "supplier"))).withColumn("id", F.concat_ws("|", "subject", "task"))
+    off = pairs.select("id", "subject", "task", *(F.col(f"x_{c}").alias(c) for c in R.FEATURES))
+    on = pairs.select("id", "subject", "task", *((F.col(f"x_{c}") + F.col(f"y_{c}")).alias(c) for c in R.FEATURES))
+    metrics = L.fold_metrics(off.unionByName(on), "subject", list(R.FEATURES), kind)
+    return _rounded(L.metric_scores(off, on, metrics, "subject", ["task"], list(R.FEATURES)))
+
+
+def _metric_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval metrics of each kind of fold metric."""
+    out = None
+    for kind in L.KINDS:
+        rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "candidate"))
+        ranked = _scores(spark, d, kind).withColumn("rank", rank).withColumn("is_true", F.col("query") == F.col("candidate"))
+        one = R.metrics(ranked, "task").withColumn("metric", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "welch_spectra": lambda s, d: _rounded(S.welch(_series(s, d), RATE)),
         "welch_band_powers": lambda s, d: _rounded(S.band_powers(S.welch(_series(s, d), RATE), S.BANDS | S.gamma_band(RATE))),
         "coherence_spectra": lambda s, d: _rounded(S.coherence(_series(s, d), RATE)),
         "band_coherences": lambda s, d: _rounded(S.band_coherence(S.coherence(_series(s, d), RATE), S.COUPLING_BANDS)),
+        "ridge_predictions": _ridge_predictions,
+        "ridge_weights": _ridge_weights,
+        "ridge_metrics": _ridge_metrics,
+        "factor_residuals": _residuals,
+        "mahalanobis_scores": lambda s, d: _scores(s, d, "mahalanobis"),
+        "subject_component_scores": lambda s, d: _scores(s, d, "components"),
+        "low_rank_scores": lambda s, d: _scores(s, d, "low_rank"),
+        "fold_metric_summary": _metric_summary,
     }
 
 
@@ -61,7 +125,70 @@ def _bands(bands: dict[str, tuple[float, float]]) -> str:
     return "(values " + ", ".join(f"('{n}', {a}, {b})" for n, (a, b) in bands.items()) + ") t(band, low, high)"
 
 
+_ORDERS = """rows as materialized (select o_orderkey, c_nationkey as subject, o_totalprice as total, o_orderpriority as priority, o_orderstatus as status, c_mktsegment as segment, n_lines, quantity, price, discount, case when c_acctbal >= 0 then c_acctbal end as balance
+    from orders join customer on o_custkey = c_custkey join (select l_orderkey, cast(count(*) as double) as n_lines, round(avg(l_quantity), 8) as quantity, round(avg(l_extendedprice), 8) as price, round(avg(l_discount), 8) as discount from lineitem group by 1) on o_orderkey = l_orderkey),
+    train as (select f.subject as fold, r.* from (select distinct subject from rows) f join rows r on r.subject <> f.subject)"""
+
+
+def _products(left: list[str], right: list[str], first: int) -> str:
+    """Entries (i, j, v) of sums of products, as a list to unnest; the right side's columns begin at ``first``."""
+    return ", ".join(f"{{'i': {i}, 'j': {j}, 'v': sum(({a}) * ({b}))}}" for i, a in enumerate(left, 1) for j, b in enumerate(right, first))
+
+
+def _eliminated(source: str, n: int) -> str:
+    """Gauss-Jordan elimination of (fold, i, j, v), a relation a pivot; ``e<n>`` has the solutions right of column n."""
+    text, last = "", source
+    for k in range(1, n + 1):
+        text += f""", e{k} as materialized (select a.fold, a.i, a.j, case when a.i = {k} then a.v / p.v else a.v - c.v * r.v / p.v end as v from {last} a join {last} p on p.fold = a.fold and p.i = {k} and p.j = {k}
+            join {last} c on c.fold = a.fold and c.i = a.i and c.j = {k} join {last} r on r.fold = a.fold and r.i = {k} and r.j = a.j)"""
+        last = f"e{k}"
+    return text
+
+
+def _refitted() -> str:
+    """Every fold's ridge regression from its own rows."""
+    p = len(FEATURES)
+    stats = ", ".join(f"coalesce(median({f}), 0) as f{i}, avg({f}) as m{i}" for i, f in enumerate(FEATURES))
+    spread = ", ".join(f"stddev_pop(coalesce({f}, f{i})) as s{i}" for i, f in enumerate(FEATURES))
+    z = [f"(coalesce({f}, f{i}) - m{i}) / (case when s{i} = 0 then 1 else s{i} end)" for i, f in enumerate(FEATURES)]
+    return f"""with {_ORDERS}, st as materialized (select fold, count(*) as n, avg(total) as ym, {stats} from train group by fold), sp as materialized (select fold, {spread} from train join st using (fold) group by fold),
+        g as (select fold, unnest([{_products(z, z, 1)}, {_products(z, ["total - ym"], p + 1)}]) as e from train join st using (fold) join sp using (fold) group by fold),
+        a as materialized (select fold, e.i as i, e.j as j, e.v + case when e.i = e.j then 1 else 0 end as v from g){_eliminated("a", p)},
+        w as materialized (select fold, {", ".join(f"max(case when i = {i} then v end) as w{i - 1}" for i in range(1, p + 1))} from e{p} where j = {p + 1} group by fold),
+        pred as (select o_orderkey, subject, priority, total, ym + {" + ".join(f"w{i} * {x}" for i, x in enumerate(z))} as y_pred from rows join st on st.fold = subject join sp on sp.fold = subject join w on w.fold = subject)"""
+
+
+def _freed() -> str:
+    """Every fold's least squares on the factors, the first level of each left out."""
+    sizes = {"priority": 5, "status": 3, "segment": 5}
+    level = ", ".join(f"dense_rank() over (order by {f}) as l_{f}" for f in FACTORS)
+    design = ["1", *(f"case when l_{f} = {k} then 1 else 0 end" for f in FACTORS for k in range(2, sizes[f] + 1))]
+    n = len(design)
+    fitted = [" + ".join(f"({x}) * v{i}_{t}" for i, x in enumerate(design, 1)) for t in range(len(FREED))]
+    wide = ", ".join(f"max(case when i = {i} and j = {n + 1 + t} then v end) as v{i}_{t}" for i in range(1, n + 1) for t in range(len(FREED)))
+    text = _ORDERS.replace("rows as materialized", "raw as materialized").replace("    train as", f"    rows as materialized (select *, {level} from raw),\n    train as")
+    return f"""with {text}, g as (select fold, unnest([{_products(design, design, 1)}, {_products(design, FREED, n + 1)}]) as e from train group by fold), a as materialized (select fold, e.i as i, e.j as j, e.v as v from g){_eliminated("a", n)},
+        w as materialized (select fold, {wide} from e{n} group by fold) select o_orderkey, subject, {", ".join(f"round({f} - ({fitted[t]}), 5) as r_{f}" for t, f in enumerate(FREED))} from rows join w on fold = subject"""
+
+
+def _mahalanobis() -> str:
+    """Every fold's inverse covariance from its own states."""
+    f, n = R.FEATURES, len(R.FEATURES)
+    identity = ", ".join(f"{{'i': {i}, 'j': {n + j}, 'v': {float(i == j)}}}" for i in range(1, n + 1) for j in range(1, n + 1))
+    cov = ", ".join(f"{{'i': {i}, 'j': {j}, 'v': covar_samp({a}, {b}) / (case when stddev_samp({a}) < 1e-8 then 1 else stddev_samp({a}) end) / (case when stddev_samp({b}) < 1e-8 then 1 else stddev_samp({b}) end) + {0.1 if i == j else 0.0}}}" for i, a in enumerate(f, 1) for j, b in enumerate(f, 1))
+    means = ", ".join(f"round(avg({c}), 8) as {n}" for n, c in (("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"), ("tax", "l_tax")))
+    gaps = ", ".join(f"(q.{c} - c.{c}) / (case when sd_{c} < 1e-8 then 1 else sd_{c} end)" for c in f)
+    return f"""with v as materialized (select s_nationkey as subject, l_linestatus as task, l_returnflag as state, {means} from lineitem join supplier on l_suppkey = s_suppkey where l_returnflag in ('A', 'R') group by all),
+        s as materialized (select *, subject || '|' || task as id from v where (subject, task) in (select (subject, task) from v group by subject, task having count(*) = 2)),
+        train as (select k.subject as fold, s.* from (select distinct subject from s) k join s on s.subject <> k.subject),
+        a as materialized (select fold, e.i as i, e.j as j, cast(e.v as double) as v from (select fold, unnest([{cov}, {identity}]) as e from train group by fold)){_eliminated("a", n)},
+        sd as (select fold, {", ".join(f"stddev_samp({c}) as sd_{c}" for c in f)} from train group by fold),
+        d as (select q.subject, q.task, q.id as query, c.id as candidate, [{gaps}] as gap from s q join s c on c.task = q.task join sd on sd.fold = q.subject where q.state = 'A' and c.state = 'R')
+        select task, query, candidate, round(sqrt(sum(gap[i] * v * gap[j - {n}])), 6) as score from d join e{n} on fold = subject and j > {n} group by task, query, candidate"""
+
+
 def oracle_sql() -> dict[str, str]:
+    weights = "[" + ", ".join(f"{{'feature': '{f}', 'weight': w{i}, 'fill': {f'f{i}' if f == 'balance' else '0.0'}}}" for i, f in enumerate(FEATURES)) + "]"
     inside = f"p as (select channel, band, row_number() over (partition by channel, band order by frequency) as i, frequency, power from spectra join {_bands(S.BANDS | S.gamma_band(RATE))} on frequency between low and high)"
     area = f"{_WELCH}, {inside}, a as (select channel, band, sum((q.frequency - p.frequency) * (p.power + q.power) / 2) as power from p left join (select channel, band, i - 1 as i, frequency, power from p) q using (channel, band, i) group by all)"
     return {
@@ -69,4 +196,9 @@ def oracle_sql() -> dict[str, str]:
         "welch_band_powers": f"{area} select channel, band, round(power, 6) as power, round(log10(greatest(power, {S.LEAST_POWER})), 6) as log_power from a",
         "coherence_spectra": f'{_COHERENCE} select "left", "right", round(frequency, 6) as frequency, round(coherence, 6) as coherence from spectra',
         "band_coherences": f'{_COHERENCE} select "left", "right", band, round(avg(coherence), 6) as coherence from spectra join {_bands(S.COUPLING_BANDS)} on frequency between low and high group by all',
+        "ridge_predictions": f"{_refitted()} select o_orderkey, subject, total, round(y_pred, 2) as y_pred, 'ok' as fold_status from pred",
+        "ridge_weights": f"{_refitted()} select subject, n, e.feature as feature, round(e.weight, 4) as weight, round(e.fill, 4) as fill from (select fold as subject, n, unnest({weights}) as e from w join st using (fold))",
+        "ridge_metrics": f"{_refitted()} select priority, count(*) as n, round(avg(abs(y_pred - total)), 3) as mae, round(sqrt(avg(pow(y_pred - total, 2))), 3) as rmse, round(corr(y_pred, total), 5) as pearson from pred group by priority",
+        "factor_residuals": _freed(),
+        "mahalanobis_scores": _mahalanobis(),
     }
