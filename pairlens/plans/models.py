@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlens.operators import folds as L
+from pairlens.operators import ranker as K
 from pairlens.operators import retrieval as R
 from pairlens.operators import spectra as S
+from pairlens.operators import windows as W
 
 RATE, STEP = 100.0, 600
 #: What orders are predicted from, and what they are freed of.
@@ -81,6 +83,54 @@ def _metric_summary(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+RANKED = [*(f"gap_{c}" for c in R.FEATURES), "mahalanobis"]
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Every off state with the on states of its task: gaps of the features and Mahalanobis distance; ``is_true``: the same subject's."""
+    pairs = R.pairs(R.state_vectors(_table(spark, d, "lineitem"), _table(spark, d, "supplier"))).withColumn("id", F.concat_ws("|", "subject", "task"))
+    off = pairs.select(F.col("id").alias("query"), *(F.col(f"x_{c}").alias(f"q_{c}") for c in R.FEATURES))
+    on = pairs.select(F.col("id").alias("candidate"), *((F.col(f"x_{c}") + F.col(f"y_{c}")).alias(f"c_{c}") for c in R.FEATURES))
+    met = _scores(spark, d, "mahalanobis").withColumnRenamed("score", "mahalanobis").join(off, "query").join(on, "candidate")
+    return met.select("task", "query", "candidate", (F.col("query") == F.col("candidate")).alias("is_true"), *(F.abs(F.col(f"q_{c}") - F.col(f"c_{c}")).alias(f"gap_{c}") for c in R.FEATURES), "mahalanobis")
+
+
+def _ranker_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    k = K.fit_ranker(_candidates(spark, d).where("task = 'F'"), "is_true", RANKED)
+    rows = [("intercept", None, None, None, k.intercept), *zip(k.features, k.fills, k.means, k.scales, k.coefficients)]
+    return _rounded(spark.createDataFrame(rows, "feature string, fill double, mean double, scale double, coefficient double"), 5)
+
+
+def _ranker_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The ranker of task F, frozen, over the candidates of task O."""
+    rows = _candidates(spark, d)
+    frozen = K.fit_ranker(rows.where("task = 'F'"), "is_true", RANKED)
+    return _rounded(K.apply_ranker(rows.where("task = 'O'"), frozen, "query", "candidate").select("query", "candidate", "is_true", "linear", "probability"), 5)
+
+
+def _recordings(spark: SparkSession, d: str) -> DataFrame:
+    """A recording a customer, of a hundredth of its balance in hours; those of even nations are of clicks."""
+    default = F.when(F.col("c_nationkey") % 2 == 0, "click").otherwise("unknown")
+    return _table(spark, d, "customer").select(F.col("c_custkey").alias("recording"), F.round(F.abs("c_acctbal") / 100, 4).alias("duration"), default.alias("default_condition"))
+
+
+def _user_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as intervals of their user's recording: hours of the month modulo 100, value as hours; errors are bad."""
+    hours = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.col("ts").cast("timestamp_ntz")) % 360000 / 3600
+    condition = F.when(F.col("event_type") == "error", "BAD_error").otherwise(F.col("event_type"))
+    return _table(spark, d, "events").select(F.col("user_id").alias("recording"), F.round(hours, 4).alias("onset"), F.col("value").alias("duration"), condition.alias("condition"), "event_id")
+
+
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    return W.event_windows(_user_events(spark, d), _recordings(spark, d), max_windows=20, max_duration=30.0, fixed=10.0, order=("onset", "event_id"))
+
+
+def _window_samples(spark: SparkSession, d: str) -> DataFrame:
+    samples = _user_events(spark, d).select("recording", F.col("onset").alias("at"), F.col("duration").alias("value"))
+    held = W.in_windows(samples, _windows(spark, d), 10.0)
+    return held.groupBy("recording", "onset", "duration", "condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "welch_spectra": lambda s, d: _rounded(S.welch(_series(s, d), RATE)),
@@ -95,6 +145,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "subject_component_scores": lambda s, d: _scores(s, d, "components"),
         "low_rank_scores": lambda s, d: _scores(s, d, "low_rank"),
         "fold_metric_summary": _metric_summary,
+        "ranker_coefficients": _ranker_coefficients,
+        "ranker_scores": _ranker_scores,
+        "event_windows": lambda s, d: _rounded(_windows(s, d)),
+        "window_samples": _window_samples,
     }
 
 
@@ -135,13 +189,13 @@ def _products(left: list[str], right: list[str], first: int) -> str:
     return ", ".join(f"{{'i': {i}, 'j': {j}, 'v': sum(({a}) * ({b}))}}" for i, a in enumerate(left, 1) for j, b in enumerate(right, first))
 
 
-def _eliminated(source: str, n: int) -> str:
-    """Gauss-Jordan elimination of (fold, i, j, v), a relation a pivot; ``e<n>`` has the solutions right of column n."""
+def _eliminated(source: str, n: int, name: str = "e") -> str:
+    """Gauss-Jordan elimination of (fold, i, j, v), a relation a pivot; ``<name><n>`` has the solutions right of column n."""
     text, last = "", source
     for k in range(1, n + 1):
-        text += f""", e{k} as materialized (select a.fold, a.i, a.j, case when a.i = {k} then a.v / p.v else a.v - c.v * r.v / p.v end as v from {last} a join {last} p on p.fold = a.fold and p.i = {k} and p.j = {k}
+        text += f""", {name}{k} as materialized (select a.fold, a.i, a.j, case when a.i = {k} then a.v / p.v else a.v - c.v * r.v / p.v end as v from {last} a join {last} p on p.fold = a.fold and p.i = {k} and p.j = {k}
             join {last} c on c.fold = a.fold and c.i = a.i and c.j = {k} join {last} r on r.fold = a.fold and r.i = {k} and r.j = a.j)"""
-        last = f"e{k}"
+        last = f"{name}{k}"
     return text
 
 
@@ -187,7 +241,39 @@ def _mahalanobis() -> str:
         select task, query, candidate, round(sqrt(sum(gap[i] * v * gap[j - {n}])), 6) as score from d join e{n} on fold = subject and j > {n} group by task, query, candidate"""
 
 
+def _newton(rounds: int = 12) -> str:
+    """The ranker's coefficients ``b<rounds>`` (w0: intercept) by Newton's steps, one elimination a step."""
+    p = len(RANKED)
+    text = _mahalanobis().rpartition("select task, query")[0]
+    gaps = ", ".join(f"abs(q.{c} - c.{c}) as gap_{c}" for c in R.FEATURES)
+    text += f""", sc as materialized (select task, query, candidate, round(sqrt(sum(gap[i] * v * gap[j - {len(R.FEATURES)}])), 6) as mahalanobis from d join e{len(R.FEATURES)} on fold = subject and j > {len(R.FEATURES)} group by task, query, candidate),
+        cand as materialized (select sc.task, query, candidate, query = candidate as is_true, {gaps}, mahalanobis from sc join s q on q.id = query and q.state = 'A' join s c on c.id = candidate and c.state = 'R'),
+        fit as materialized (select {", ".join(f"median({f}) as fill_{f}, avg({f}) as mean_{f}, stddev_pop({f}) as scale_{f}" for f in RANKED)}, count(*) as n, count(*) filter (is_true) as ones from cand where task = 'F'),
+        z as materialized (select 0 as fold, case when is_true then 1 else 0 end as y, case when is_true then n / (2.0 * ones) else n / (2.0 * (n - ones)) end as w, 1.0::double as z0, {", ".join(f"({f} - mean_{f}) / scale_{f} as z{i}" for i, f in enumerate(RANKED, 1))} from cand, fit where task = 'F'),
+        b0 as (select {", ".join(f"0.0::double as w{i}" for i in range(p + 1))})"""
+    z = [f"z{i}" for i in range(p + 1)]
+    for k in range(rounds):
+        linear = " + ".join(f"w{i} * z{i}" for i in range(p + 1))
+        penalty = " + ".join(["0.0", *(f"case when i = {i} and j = {p + 2} then w{i - 1} when i = {i} and j = {i} then 1 else 0 end" for i in range(2, p + 2))])
+        text += f""", p{k} as materialized (select z.*, 1 / (1 + exp(-({linear}))) as p from z, b{k}),
+        h{k} as (select fold, unnest([{_products([f"w * p * (1 - p) * {x}" for x in z], z, 1)}, {_products(z, ["w * (p - y)"], p + 2)}]) as e from p{k} group by fold),
+        g{k} as materialized (select fold, e.i as i, e.j as j, e.v + (select {penalty} from b{k}) as v from (select fold, e, e.i as i, e.j as j from h{k})){_eliminated(f"g{k}", p + 1, f"n{k}_")},
+        b{k + 1} as materialized (select {", ".join(f"w{i - 1} - max(case when i = {i} then v end) as w{i - 1}" for i in range(1, p + 2))} from n{k}_{p + 1}, b{k} where j = {p + 2} group by {', '.join(f'w{i}' for i in range(p + 1))})"""
+    return text
+
+
+_CLIPPED = """r as (select c_custkey as recording, round(abs(c_acctbal) / 100, 4) as stop, case when c_nationkey % 2 = 0 then 'click' else 'unknown' end as usual from customer),
+    ev as (select user_id as recording, round(epoch_us(ts - timestamp '2024-01-01 00:00:00') // 1000000 % 360000 / 3600, 4) as onset, value as duration, case when event_type = 'error' then 'BAD_error' else event_type end as condition, event_id from events),
+    ok as (select *, condition not ilike 'bad%' as good, condition not ilike 'bad%' and usual <> 'unknown' and contains(lower(condition), usual) as hinted from ev join r using (recording) where duration > 0 and onset >= 0 and onset < stop),
+    picked as (select * from ok o where case when exists (from ok x where x.recording = o.recording and x.hinted) then hinted when exists (from ok x where x.recording = o.recording and x.good) then good else true end),
+    w as materialized (select recording, onset, least(duration, 30.0) as duration, condition, 'events' as source from (select *, row_number() over (partition by recording order by onset, event_id) as i from picked) where i <= 20
+        union all select recording, i * 10.0, least(10.0, least(stop, 30.0) - i * 10.0), usual, 'fixed_window_fallback' from (select *, unnest(range(cast(least(20, greatest(1, floor(least(stop, 30.0) / 10.0))) as bigint))) as i from r where stop > 0 and recording not in (select recording from ok)))"""
+
+
 def oracle_sql() -> dict[str, str]:
+    last = 12
+    frozen = f"{_newton(last)}, lin as (select query, candidate, is_true, w0 + {' + '.join(f'w{i} * ({f} - mean_{f}) / scale_{f}' for i, f in enumerate(RANKED, 1))} as linear from cand, fit, b{last} where task = 'O')"
+    named = " union all ".join(f"select '{f}' as feature, round(fill_{f}, 5) as fill, round(mean_{f}, 5) as mean, round(scale_{f}, 5) as scale, round(w{i}, 5) as coefficient from fit, b{last}" for i, f in enumerate(RANKED, 1))
     weights = "[" + ", ".join(f"{{'feature': '{f}', 'weight': w{i}, 'fill': {f'f{i}' if f == 'balance' else '0.0'}}}" for i, f in enumerate(FEATURES)) + "]"
     inside = f"p as (select channel, band, row_number() over (partition by channel, band order by frequency) as i, frequency, power from spectra join {_bands(S.BANDS | S.gamma_band(RATE))} on frequency between low and high)"
     area = f"{_WELCH}, {inside}, a as (select channel, band, sum((q.frequency - p.frequency) * (p.power + q.power) / 2) as power from p left join (select channel, band, i - 1 as i, frequency, power from p) q using (channel, band, i) group by all)"
@@ -201,4 +287,8 @@ def oracle_sql() -> dict[str, str]:
         "ridge_metrics": f"{_refitted()} select priority, count(*) as n, round(avg(abs(y_pred - total)), 3) as mae, round(sqrt(avg(pow(y_pred - total, 2))), 3) as rmse, round(corr(y_pred, total), 5) as pearson from pred group by priority",
         "factor_residuals": _freed(),
         "mahalanobis_scores": _mahalanobis(),
+        "ranker_coefficients": f"{_newton(last)} select 'intercept' as feature, null::double as fill, null::double as mean, null::double as scale, round(w0, 5) as coefficient from b{last} union all {named}",
+        "ranker_scores": f"{frozen} select query, candidate, is_true, round(linear, 5) as linear, round(1 / (1 + exp(-greatest(least(linear, 50), -50))), 5) as probability from lin",
+        "event_windows": f"with {_CLIPPED} select recording, round(onset, 6) as onset, round(duration, 6) as duration, condition, source from w",
+        "window_samples": f"with {_CLIPPED} select w.recording, w.onset, w.duration, w.condition, count(*) as n, round(sum(ev.duration), 4) as total from w join ev on ev.recording = w.recording and ev.onset >= w.onset and ev.onset < w.onset + w.duration group by all",
     }
