@@ -1,7 +1,8 @@
 """SQL templates shared by both engines: named relations over base tables, with a few macros where dialects differ.
 
-A template names other relations and base tables in braces. ``render`` collects what a relation needs as common table expressions, so
-Catalyst sees one plan; base tables stay placeholders, to which ``spark.sql`` binds data frames and the SQL text binds table names.
+A template names other relations and base tables in braces. ``render`` collects what a relation needs as common table expressions;
+base tables stay placeholders, to which ``spark.sql`` binds data frames and the SQL text binds table names. Spark writes such
+expressions out wherever they are named, so ``run`` keeps those that are named more than once as tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pairlens.sources.cache import load_or_build
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 _NAME = re.compile(r"\{(\w+)\}")
 #: Numbers with a point are doubles, not decimals.
@@ -63,12 +66,12 @@ def expand(text: str, spark: bool) -> str:
     return text
 
 
-def render(name: str, book: dict[str, str], spark: bool) -> str:
-    """The relation as one statement; base tables stand as placeholders (Spark) or names."""
+def render(name: str, book: dict[str, str], spark: bool, kept: frozenset[str] = frozenset()) -> str:
+    """The relation as one statement; base tables and the relations in ``kept`` stand as placeholders (Spark) or names."""
     done: dict[str, str] = {}
 
     def need(x: str) -> None:
-        if x in TABLES or x in done:
+        if x in TABLES or x in done or (x in kept and x != name):
             return
         for y in _NAME.findall(book[x]):
             need(y)
@@ -78,11 +81,40 @@ def render(name: str, book: dict[str, str], spark: bool) -> str:
     final = done.pop(name)
     parts = ", ".join(f"{k} as ({v})" for k, v in done.items())
     text = (f"with {parts} " if parts else "") + final
-    text = expand(_NAME.sub(lambda m: m[0] if spark and m[1] in TABLES else m[1], text), spark)
+    text = expand(_NAME.sub(lambda m: m[0] if spark and (m[1] in TABLES or m[1] in kept) else m[1], text), spark)
     return _DECIMAL.sub(r"\1e0", text)
 
 
+def uses(name: str, book: dict[str, str]) -> dict[str, int]:
+    """How often each relation is named in what ``name`` needs, if those named more than once are kept; what comes first stands first."""
+    order: list[str] = []
+
+    def visit(x: str) -> None:
+        if x not in TABLES and x not in order:
+            for y in _NAME.findall(book[x]):
+                visit(y)
+            order.append(x)
+
+    visit(name)
+    count = dict.fromkeys(order, 0)
+    count[name] = 1
+    for x in reversed(order):
+        for y in _NAME.findall(book[x]):
+            if y not in TABLES:
+                count[y] += min(1, count[x])
+    return count
+
+
 def run(spark: SparkSession, sf_dir: str, name: str, book: dict[str, str]) -> DataFrame:
-    text = render(name, book, True)
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(_NAME.findall(text))}
-    return spark.sql(text, **tables)
+    """The relation over the tables of ``sf_dir``. What it would compute several times is computed once and kept in the shared folder."""
+    tables = lambda text: {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(_NAME.findall(text)) if t in TABLES}
+    several = [x for x, n in uses(name, book).items() if n > 1 and x != name]
+    kept: dict[str, DataFrame] = {}
+    for x in several:
+        whole = render(x, book, True)
+        inputs = [f"{sf_dir}/{t}.parquet" for t in set(_NAME.findall(whole))]
+        text = render(x, book, True, frozenset(kept))
+        needed = {k: kept[k] for k in set(_NAME.findall(text)) if k in kept}
+        kept[x] = load_or_build(spark, x, inputs, whole, lambda text=text, needed=needed: spark.sql(text, **tables(text), **needed))
+    text = render(name, book, True, frozenset(kept))
+    return spark.sql(text, **tables(text), **{k: kept[k] for k in set(_NAME.findall(text)) if k in kept})

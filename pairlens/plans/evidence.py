@@ -67,15 +67,17 @@ EVIDENCE = {
     "uniform_rank_null": f"select condition, count(*) as n_rounds, round(avg(top1), 6) as null_top1, round(PCT(top1, 0.95), 6) as null_top1_95, round((1 + sum(case when top1 >= seen then 1 else 0 end)) / cast(1 + count(*) as double), 6) as p_value from (select f.condition, n.i, avg(case when DRAW(n.i, concat(f.condition, f.query)) % f.n_candidates = 0 then 1.0 else 0.0 end) as top1 from {{query_failures}} f cross join NUMBERS({ROUNDS}) n group by f.condition, n.i) t join (select condition as c, top1 as seen from {{condition_metrics}}) o on condition = c group by condition",
     "matched_task_null": "select count(*) as n_rounds, round(avg(top1), 6) as null_top1, round((1 + sum(case when top1 >= seen then 1 else 0 end)) / cast(1 + count(*) as double), 6) as p_value from (select round, avg(case when rank = 1 then 1.0 else 0.0 end) as top1 from (select n.i as round, r.query, min_by(r.rank, concat(lpad(cast(DRAW(n.i, concat(r.query, r.candidate)) as string), 12, '0'), r.candidate)) as rank from {ranked_pool} r cross join NUMBERS(100) n where r.condition = 'original' and r.query <> r.candidate group by n.i, r.query) d group by round) t cross join (select top1 as seen from {condition_metrics} where condition = 'original') o",
     "subject_sign_null": f"select feature, round(min(seen), 6) as mean_delta, count(*) as n_rounds, round((1 + sum(case when m >= seen - 1e-9 then 1 else 0 end)) / cast(1 + count(*) as double), 6) as p_larger from (select y.feature, n.i, sum(case when DRAW(n.i, cast(y.subject as string)) % 2 = 0 then y.s else -y.s end) / sum(y.n) as m from (select feature, subject, sum(y) as s, count(*) as n from {{delta_table}} group by feature, subject) y cross join NUMBERS({ROUNDS}) n group by y.feature, n.i) t join (select feature as f, avg(y) as seen from {{delta_table}} group by feature) o on feature = f group by feature",
-    "query_bootstrap": f"select condition, count(*) as n_rounds, round(avg(m), 6) as mean, round(PCT(m, 0.025), 6) as low, round(PCT(m, 0.975), 6) as high from (select s.condition, s.round, avg(h.hit) as m from (select c.condition, n.i as round, k.i as slot, DRAW(concat(c.condition, cast(n.i as string)), k.i) % c.n as pick from (select condition, count(*) as n from {{query_failures}} where condition in ('original', 'all') group by condition) c cross join NUMBERS(200) n cross join NUMBERS(125) k where k.i < c.n) s join (select condition, row_number() over (partition by condition order by query) - 1 as at, case when true_rank = 1 then 1.0 else 0.0 end as hit from {{query_failures}}) h on h.condition = s.condition and h.at = s.pick group by s.condition, s.round) t group by condition",
-    "paired_delta_bootstrap": f"select count(*) as n_rounds, round(avg(d), 6) as mean_delta, round(PCT(d, 0.025), 6) as low, round(PCT(d, 0.975), 6) as high, round(avg(case when d > 0 then 1.0 else 0.0 end), 6) as share_above_zero from (select r.round, sum(u.d) / sum(u.n) as d from (select n.i as round, DRAW(n.i, concat('s', cast(k.i as string))) % 25 as pick from NUMBERS({ROUNDS}) n cross join NUMBERS(25) k) r join (select row_number() over (order by subject) - 1 as at, n, d from (select q.subject, count(*) as n, sum(case when a.true_rank = 1 then 1.0 else 0.0 end) - sum(case when b.true_rank = 1 then 1.0 else 0.0 end) as d from {{query_failures}} a join {{query_failures}} b on a.query = b.query join {{state_pairs}} q on q.pair_id = a.query where a.condition = 'original' and b.condition = 'all' group by q.subject) s) u on u.at = r.pick group by r.round) t",
+    "query_bootstrap": f"select condition, count(*) as n_rounds, round(avg(m), 6) as mean, round(PCT(m, 0.025), 6) as low, round(PCT(m, 0.975), 6) as high from (select s.condition, s.round, avg(h.hit) as m from (select c.condition, n.i as round, k.i as slot, DRAW(concat(c.condition, cast(n.i as string)), k.i) % c.n as pick from (select condition, count(*) as n from {{query_failures}} where condition in ('original', 'all') group by condition) c join (select condition as kc, cast(row_number() over (partition by condition order by query) - 1 as int) as i from {{query_failures}}) k on k.kc = c.condition cross join NUMBERS(200) n) s join (select condition, row_number() over (partition by condition order by query) - 1 as at, case when true_rank = 1 then 1.0 else 0.0 end as hit from {{query_failures}}) h on h.condition = s.condition and h.at = s.pick group by s.condition, s.round) t group by condition",
+    "subject_hit_deltas": "select cast(row_number() over (order by subject) - 1 as int) as at, n, d from (select q.subject, count(*) as n, sum(case when a.true_rank = 1 then 1.0 else 0.0 end) - sum(case when b.true_rank = 1 then 1.0 else 0.0 end) as d from {query_failures} a join {query_failures} b on a.query = b.query join {state_pairs} q on q.pair_id = a.query where a.condition = 'original' and b.condition = 'all' group by q.subject) s",
+    "paired_delta_bootstrap": f"select count(*) as n_rounds, round(avg(d), 6) as mean_delta, round(PCT(d, 0.025), 6) as low, round(PCT(d, 0.975), 6) as high, round(avg(case when d > 0 then 1.0 else 0.0 end), 6) as share_above_zero from (select r.round, sum(u.d) / sum(u.n) as d from (select n.i as round, DRAW(n.i, concat('s', cast(k.at as string))) % c.subjects as pick from {{subject_hit_deltas}} k cross join NUMBERS({ROUNDS}) n cross join (select count(*) as subjects from {{subject_hit_deltas}}) c) r join {{subject_hit_deltas}} u on u.at = r.pick group by r.round) t",
     "stratum_removal": f"select condition, s.task as removed_task, {_metrics()} from {{query_failures}} f join {{state_pairs}} q on f.query = q.pair_id join (select distinct task from {{state_pairs}}) s on s.task <> q.task group by condition, s.task",
     "feature_ablation": "select dropped, " + _metrics("place") + " from (select f.feature as dropped, p.query, p.candidate, row_number() over (partition by f.feature, p.query order by sum(case when q.feature <> f.feature then abs(q.x - c.m) / s.sd else 0 end), p.candidate) as place from {pool_conditions} p join {delta_table} q on p.query = q.pair_id join {delta_table} c on c.pair_id = p.candidate and c.feature = q.feature join {fold_scaler} s on s.held_out = q.subject and s.feature = q.feature cross join (select distinct feature from {delta_table}) f where p.condition = 'original' group by f.feature, p.query, p.candidate) a where query = candidate group by dropped",
     # statistics
     "delta_ranks": "select feature, pair_id, subject, x, y, n_off, rank() over (partition by feature order by x) + (count(*) over (partition by feature, x) - 1) / 2.0 as rx, rank() over (partition by feature order by y) + (count(*) over (partition by feature, y) - 1) / 2.0 as ry, rank() over (partition by feature order by n_off) + (count(*) over (partition by feature, n_off) - 1) / 2.0 as rz from (select d.feature, d.pair_id, d.subject, d.x, d.y, p.n_off from {delta_table} d join {state_pairs} p on d.pair_id = p.pair_id) t",
     "partial_spearman": "select feature, n, round(xy, 6) as rho, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) as partial_rho, round(pearson, 6) as pearson from (select feature, count(*) as n, corr(rx, ry) as xy, corr(rx, rz) as xz, corr(ry, rz) as yz, corr(x, y) as pearson from {delta_ranks} group by feature) c",
     "collinearity": "select a.feature as feature_a, b.feature as feature_b, count(*) as n, round(corr(a.y, b.y), 6) as pearson, round(corr(a.ry, b.ry), 6) as spearman, abs(corr(a.ry, b.ry)) >= 0.7 as collinear from {delta_ranks} a join {delta_ranks} b on a.pair_id = b.pair_id and a.feature <= b.feature group by a.feature, b.feature",
-    "loso_ridge": "select pair_id, feature, y, round(my + slope * (x - mx), 6) as predicted from (select d.pair_id, d.feature, d.x, d.y, (t.sx - o.sx) / (t.n - o.n) as mx, (t.sy - o.sy) / (t.n - o.n) as my, ((t.sxy - o.sxy) - (t.sx - o.sx) * (t.sy - o.sy) / (t.n - o.n)) / ((t.sxx - o.sxx) - (t.sx - o.sx) * (t.sx - o.sx) / (t.n - o.n) + 1.0) as slope from {delta_table} d join (select subject, feature, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * y) as sxy, sum(x * x) as sxx from {delta_table} group by subject, feature) o on o.subject = d.subject and o.feature = d.feature join (select feature, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * y) as sxy, sum(x * x) as sxx from {delta_table} group by feature) t on t.feature = d.feature where t.n - o.n >= 8 and d.feature in ('quantity', 'discount', 'tax')) r",
+    "centred_deltas": "select pair_id, subject, feature, y, x - avg(x) over (partition by feature) as x from {delta_table}",
+    "loso_ridge": "select pair_id, feature, y, round(my + slope * (x - mx), 6) as predicted from (select d.pair_id, d.feature, d.x, d.y, (t.sx - o.sx) / (t.n - o.n) as mx, (t.sy - o.sy) / (t.n - o.n) as my, ((t.sxy - o.sxy) - (t.sx - o.sx) * (t.sy - o.sy) / (t.n - o.n)) / ((t.sxx - o.sxx) - (t.sx - o.sx) * (t.sx - o.sx) / (t.n - o.n) + 1.0) as slope from {centred_deltas} d join (select subject, feature, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * y) as sxy, sum(x * x) as sxx from {centred_deltas} group by subject, feature) o on o.subject = d.subject and o.feature = d.feature join (select feature, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * y) as sxy, sum(x * x) as sxx from {centred_deltas} group by feature) t on t.feature = d.feature where t.n - o.n >= 8) r",
     "prediction_metrics": "select feature, count(*) as n, round(corr(y, predicted), 5) as pearson, round(avg(abs(y - predicted)), 6) as mae, round(sqrt(avg((y - predicted) * (y - predicted))), 6) as rmse, round(avg(case when sign(y) = sign(predicted) then 1.0 else 0.0 end), 6) as sign_agreement from {loso_ridge} group by feature",
     "histogram": "select d.feature, cast(least(17, floor((d.y - b.low) / b.width)) as int) as bin, count(*) as n from {delta_table} d join (select feature, min(y) - 0.04 * (max(y) - min(y)) as low, 1.08 * (max(y) - min(y)) / 18 as width from {delta_table} group by feature) b on b.feature = d.feature group by d.feature, cast(least(17, floor((d.y - b.low) / b.width)) as int)",
     "density": "select d.feature, g.i as place, round(b.low + g.i * b.step, 5) as at, round(avg(exp(-0.5 * power((d.y - b.low - g.i * b.step) / b.h, 2))) * sum(b.range) / count(*) / (min(b.h) * 2.5066282746310002), 6) as density from {delta_table} d join (select feature, min(y) as low, max(y) - min(y) as range, (max(y) - min(y)) / 24 as step, stddev_samp(y) * power(count(*), -0.2) as h from {delta_table} group by feature) b on b.feature = d.feature cross join NUMBERS(25) g group by d.feature, g.i, b.low, b.step",
@@ -112,8 +114,8 @@ EVIDENCE = {
     "gate_table": "select m.condition, m.top1 >= b.top1 as keeps_top1, m.mrr >= b.mrr as keeps_mrr, m.mean_rank <= b.mean_rank as keeps_rank, d.p_value <= 0.05 as beats_chance, cast(m.top1 >= b.top1 as int) + cast(m.mrr >= b.mrr as int) + cast(m.mean_rank <= b.mean_rank as int) + cast(d.p_value <= 0.05 as int) as n_passed from {condition_metrics} m cross join (select top1, mrr, mean_rank from {condition_metrics} where condition = 'all') b join {uniform_rank_null} d on d.condition = m.condition",
     "conservative_choice": "select condition, n_passed from (select condition, n_passed, row_number() over (order by n_passed desc, condition) as place from {gate_table}) g where place = 1",
     "model_eligibility": "select feature, count(*) as n, count(distinct y) as n_distinct, cast(sum(case when y <> 0 then 1 else 0 end) as bigint) as n_nonzero, count(*) >= 8 and count(distinct y) > 1 as eligible from {delta_table} group by feature",
-    "pair_count_check": "select task, count(*) as n_pairs, count(distinct subject) as n_subjects, count(*) = count(distinct subject) as one_a_subject, 25 - count(distinct subject) as n_missing from {state_pairs} group by task",
+    "pair_count_check": "select task, count(*) as n_pairs, count(distinct subject) as n_subjects, count(*) = count(distinct subject) as one_a_subject, max(expected) - count(distinct subject) as n_missing from {state_pairs} cross join (select count(distinct subject) as expected from {state_table}) e group by task",
 }
 BOOK = COHORT | EVIDENCE
-_HELPERS = ("state_long", "nearest_sets", "hard_negative_ratios", "random_label_rounds", "log_factorials", "signal", "spectra", "bands")
+_HELPERS = ("state_long", "subject_hit_deltas", "centred_deltas", "nearest_sets", "hard_negative_ratios", "random_label_rounds", "log_factorials", "signal", "spectra", "bands")
 QUERIES = [k for k in EVIDENCE if k not in _HELPERS]

@@ -2,6 +2,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairlens.sources import tables as T
 
@@ -49,3 +50,34 @@ def test_writes(spark, folder):
     checks = spark.createDataFrame([("r1", "ok"), ("r2", "read_error"), ("r3", None)], "recording string, status string")
     assert {r.recording for r in T.failure_log(checks).collect()} == {"r2", "r3"}
     assert [tuple(r) for r in T.failure_log(checks.where("status = 'ok'")).collect()] == [(None, "none")]
+
+
+def test_tables_are_built_once_for_the_same_inputs_and_recipe(spark, tmp_path):
+    from pairlens.sources import cache
+
+    built, given = [], f"{tmp_path}/given.parquet"
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(given).withColumn("twice", F.col("id") * 2)
+
+    spark.range(5).write.parquet(given)
+    for recipe, times in (("double", 1), ("double", 1), ("double it", 2)):
+        got = cache.load_or_build(spark, "t", [given], recipe, build, base=str(tmp_path))
+        assert sorted(r.twice for r in got.collect()) == [0, 2, 4, 6, 8] and len(built) == times
+    spark.range(7).write.mode("overwrite").parquet(given)
+    assert cache.load_or_build(spark, "t", [given], "double", build, base=str(tmp_path)).count() == 7 and len(built) == 3
+    with pytest.raises(ZeroDivisionError):
+        cache.load_or_build(spark, "u", [given], "fails", lambda: 1 / 0, base=str(tmp_path))
+    cache.forget(spark, str(tmp_path))
+    assert cache.load_or_build(spark, "t", [given, f"{tmp_path}/none"], "double", build, base=str(tmp_path)).count() == 7 and len(built) == 4
+
+
+def test_no_relation_reads_the_same_rows_twice(spark):
+    from pairlens.plans import book, evidence
+
+    for name in ("gate_table", "random_label_null", "condition_deltas", "state_pairs"):
+        n = book.uses(name, evidence.BOOK)
+        assert n[name] == 1 and n.get("windows", 1) == 1
+    plan = book.run(spark, "/root/testdata/sf0.001", "gate_table", evidence.BOOK)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and plan.count("FileScan") < 20
