@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlens.operators import folds as L
+from pairlens.operators import graphs as G
 from pairlens.operators import ranker as K
 from pairlens.operators import retrieval as R
+from pairlens.operators import robust as H
 from pairlens.operators import spectra as S
 from pairlens.operators import windows as W
 
@@ -131,6 +133,44 @@ def _window_samples(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy("recording", "onset", "duration", "condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def _huber(spark: SparkSession, d: str) -> DataFrame:
+    """A line of order totals on customers' balances, a nation each."""
+    return _rounded(H.huber_slopes(orders_of(spark, d), ["subject"], "balance", "total"), 3)
+
+
+def _laplacian(spark: SparkSession, d: str) -> DataFrame:
+    """A nation's graph: its customers' segments, and the priorities of their orders, weighed by hundreds of orders."""
+    orders = _table(spark, d, "orders").join(_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return G.laplacian_spectra(orders.select(F.col("c_nationkey").alias("subject"), F.col("c_mktsegment").alias("a"), F.col("o_orderpriority").alias("b"), F.lit(0.01).alias("weight")), "subject", 5)
+
+
+def _deviation(spark: SparkSession, d: str) -> DataFrame:
+    spectra = _laplacian(spark, d)
+    return _rounded(G.spectral_deviation(spectra, spectra, "subject").where("left < right"))
+
+
+HOURS = 4
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+def _bipolar(spark: SparkSession, d: str) -> DataFrame:
+    """Differences of neighbouring event types' totals in steps of four hours, where both have events; a recording a region."""
+    region = _table(spark, d, "customer").join(_table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("user_id"), F.col("n_regionkey").alias("recording"))
+    contact = F.array_position(F.array(*map(F.lit, KINDS)), F.col("event_type")).cast("int").alias("contact")
+    n = F.floor(F.timestamp_diff("SECOND", F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.col("ts").cast("timestamp_ntz")) / F.lit(3600 * HOURS)).alias("n")
+    totals = _table(spark, d, "events").join(region, "user_id").groupBy("recording", contact, n).agg(F.sum("value").alias("value"))
+    low, high = totals.select("recording", "n", F.col("contact").alias("lo"), F.col("value").alias("v")), totals.select("recording", "n", F.col("contact").alias("hi"), F.col("value").alias("w"))
+    return low.join(high, ["recording", "n"]).where("hi = lo + 1").select("recording", "lo", "hi", "n", (F.col("v") - F.col("w")).alias("value"))
+
+
+def _montage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Differences of event types that are not neighbours, along the chain of those that are."""
+    signals = _bipolar(spark, d)
+    edges = signals.select("recording", "lo", "hi", F.col("lo").alias("at")).distinct()
+    targets = edges.select("recording").distinct().select("recording", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 3), (1, 5), (4, 2))))).alias("t")).select("recording", "t.*")
+    return G.reconstructed(signals, G.edge_paths(edges, targets))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "welch_spectra": lambda s, d: _rounded(S.welch(_series(s, d), RATE)),
@@ -149,6 +189,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ranker_scores": _ranker_scores,
         "event_windows": lambda s, d: _rounded(_windows(s, d)),
         "window_samples": _window_samples,
+        "huber_slopes": _huber,
+        "laplacian_spectra": lambda s, d: _rounded(_laplacian(s, d)),
+        "spectral_deviations": _deviation,
+        "montage_signals": lambda s, d: _rounded(_montage(s, d)[0], 4),
+        "montage_provenance": lambda s, d: _montage(s, d)[1],
     }
 
 
@@ -270,6 +315,24 @@ _CLIPPED = """r as (select c_custkey as recording, round(abs(c_acctbal) / 100, 4
         union all select recording, i * 10.0, least(10.0, least(stop, 30.0) - i * 10.0), usual, 'fixed_window_fallback' from (select *, unnest(range(cast(least(20, greatest(1, floor(least(stop, 30.0) / 10.0))) as bigint))) as i from r where stop > 0 and recording not in (select recording from ok)))"""
 
 
+def _reweighted(rounds: int = 60) -> str:
+    """Huber lines by reweighted least squares, a relation a round."""
+    text = f"""with {_ORDERS}, st as (select subject, count(*) as n, avg(balance) as mx, stddev_pop(balance) as sx, avg(total) as my, stddev_pop(total) as sy from rows where balance is not null group by subject),
+        z as materialized (select subject, (balance - mx) / sx as z, total as y from rows join st using (subject) where balance is not null),
+        h0 as (select subject, 0.0::double as w, my as b, sy as s from st)"""
+    for k in range(rounds):
+        text += f""", r{k} as (select *, y - w * z - b as e, case when abs(y - w * z - b) > 1.35 * s then 1.35 * s / abs(y - w * z - b) else 1 end as k from z join h{k} using (subject)),
+        q{k} as (select subject, any_value(s) as s, sum(k * z * z) + 1e-4 * any_value(s) as a, sum(k * z) as c, sum(k) as d, sum(k * z * y) as f, sum(k * y) as g, sqrt(sum(e * e) filter (k = 1) / (count(*) - 1.8225 * count(*) filter (k < 1))) as t from r{k} group by subject),
+        h{k + 1} as materialized (select subject, (f * d - c * g) / (a * d - c * c) as w, (a * g - c * f) / (a * d - c * c) as b, t as s from q{k})"""
+    return text + f" select subject, n, round(w, 3) as slope, round(b, 3) as intercept, 'ok' as status from h{rounds} join st using (subject)"
+
+
+_CHAIN = """t as (select n_regionkey as recording, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) as c, epoch_us(ts - timestamp '2024-01-01 00:00:00') // 1000000 // 14400 as n, sum(value) as v from events join customer on c_custkey = user_id join nation on n_nationkey = c_nationkey group by all),
+    ends as (select recording, c, max(n) + 1 as size from (select x.recording, x.c, x.n from t x join t y on y.recording = x.recording and y.n = x.n and y.c = x.c + 1) group by all),
+    goals as (select r.recording, unnest([{'a': 1, 'b': 3}, {'a': 1, 'b': 5}, {'a': 4, 'b': 2}], recursive := true) from (select distinct recording from t) r),
+    whole as (select g.recording, a, b, abs(a - b) as path_length, min(size) as size from goals g join ends e on e.recording = g.recording and c >= least(a, b) and c < greatest(a, b) group by all having count(*) = abs(a - b))"""
+
+
 def oracle_sql() -> dict[str, str]:
     last = 12
     frozen = f"{_newton(last)}, lin as (select query, candidate, is_true, w0 + {' + '.join(f'w{i} * ({f} - mean_{f}) / scale_{f}' for i, f in enumerate(RANKED, 1))} as linear from cand, fit, b{last} where task = 'O')"
@@ -289,6 +352,9 @@ def oracle_sql() -> dict[str, str]:
         "mahalanobis_scores": _mahalanobis(),
         "ranker_coefficients": f"{_newton(last)} select 'intercept' as feature, null::double as fill, null::double as mean, null::double as scale, round(w0, 5) as coefficient from b{last} union all {named}",
         "ranker_scores": f"{frozen} select query, candidate, is_true, round(linear, 5) as linear, round(1 / (1 + exp(-greatest(least(linear, 50), -50))), 5) as probability from lin",
+        "huber_slopes": _reweighted(),
+        "montage_signals": f"with {_CHAIN} select x.recording, a, b, x.n, round(x.v - y.v, 4) as value from whole w join t x on x.recording = w.recording and x.c = a join t y on y.recording = w.recording and y.c = b and y.n = x.n where size >= 128 and x.n < size and (select count(*) from t m where m.recording = w.recording and m.n = x.n and m.c between least(a, b) and greatest(a, b)) = path_length + 1",
+        "montage_provenance": f"with {_CHAIN} select recording, a, b, case when size >= 128 then 'bipolar_path_sum' else 'bipolar_path_too_short' end as mode, cast(path_length as int) as path_length, array_to_string([case when a < b then (a + i)::varchar || (a + i + 1)::varchar || ':+1' else (a - i - 1)::varchar || (a - i)::varchar || ':-1' end for i in range(path_length)], ';') as sources from whole",
         "event_windows": f"with {_CLIPPED} select recording, round(onset, 6) as onset, round(duration, 6) as duration, condition, source from w",
         "window_samples": f"with {_CLIPPED} select w.recording, w.onset, w.duration, w.condition, count(*) as n, round(sum(ev.duration), 4) as total from w join ev on ev.recording = w.recording and ev.onset >= w.onset and ev.onset < w.onset + w.duration group by all",
     }

@@ -61,3 +61,11 @@ def forget(spark: SparkSession, base: str | None = None) -> None:
     """Deletes all tables that were kept."""
     fs, where = _place(spark, f"{base or shared_dir(spark)}/pairlens-tables")
     fs.delete(where, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, computed once and checkpointed in the shared folder, without how it came about."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
