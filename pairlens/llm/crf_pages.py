@@ -17,8 +17,11 @@ from pairlens.llm.common import add_columns, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NO_TEXT = frozenset("head template noscript svg iframe object select textarea button".split())
+#: Elements that may stand in a head, which any other element ends; elements that can't stand in a control, which they end.
+IN_HEAD = frozenset("title script style meta link base template noscript".split())
+NOT_IN_CONTROL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table section article main nav aside header footer blockquote pre figure".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|xmp|title)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/]?[a-zA-Z][^<>]*\Z""", re.S | re.I)
+_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|xmp|title)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=(?!\s*["']))*+)>|<[!?/]?[a-zA-Z][^<>]*\Z""", re.S | re.I)
 _NAMED = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -26,7 +29,9 @@ _WORD = re.compile(r"[a-z]+")
 def leaf_blocks(page: str | None) -> list[tuple[str, list[str], str | None]]:
     """Leaf blocks in page order: text (references decoded, white space as single blanks, trimmed, never empty), features, label.
 
-    A block ends where any element that isn't inline starts or ends; a tag that the page's end cuts off is no text. The label is ``data-y`` of the nearest ancestor (training).
+    A block ends where any element that isn't inline starts or ends; a tag that the page's end cuts off is no text. A head without
+    an end tag ends where an element starts that can't stand in it, an open select or button where a block of text starts.
+    Quotes hold a tag's end only where they begin an attribute's value. The label is ``data-y`` of the nearest ancestor (training).
     """
     out: list[tuple[str, list[str], str | None]] = []
     stack: list[tuple[str, tuple[str, ...], str | None]] = []
@@ -61,6 +66,10 @@ def leaf_blocks(page: str | None) -> list[tuple[str, list[str], str | None]]:
         if not tag:
             continue
         inline = tag in INLINE
+        if hidden and not m[2]:
+            at_hidden = max(i for i, s in enumerate(stack) if s[0] in NO_TEXT)
+            if stack[at_hidden][0] == "head" and tag not in IN_HEAD or stack[at_hidden][0] in ("select", "button") and tag in NOT_IN_CONTROL:
+                pop(at_hidden)
         if tag in VOID:
             if tag == "br":
                 text.append(" ")
