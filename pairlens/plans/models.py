@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairlens.operators import folds as L
 from pairlens.operators import graphs as G
+from pairlens.operators import permutations as P
 from pairlens.operators import ranker as K
 from pairlens.operators import retrieval as R
 from pairlens.operators import robust as H
@@ -171,6 +172,15 @@ def _montage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return G.reconstructed(signals, G.edge_paths(edges, targets))
 
 
+PERMUTED = 5000
+
+
+def _permutations(spark: SparkSession, d: str) -> DataFrame:
+    """Whether off states foretell changes of quantity: subjects' changes dealt to one another in each round."""
+    pairs = R.pairs(R.state_vectors(_table(spark, d, "lineitem"), _table(spark, d, "supplier")))
+    return P.permuted_ridge(pairs, "subject", "task", "y_quantity", [f"x_{c}" for c in R.FEATURES], PERMUTED)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "welch_spectra": lambda s, d: _rounded(S.welch(_series(s, d), RATE)),
@@ -190,6 +200,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "event_windows": lambda s, d: _rounded(_windows(s, d)),
         "window_samples": _window_samples,
         "huber_slopes": _huber,
+        "subject_permutation_null": lambda s, d: _rounded(P.null_summary(_permutations(s, d))),
         "laplacian_spectra": lambda s, d: _rounded(_laplacian(s, d)),
         "spectral_deviations": _deviation,
         "montage_signals": lambda s, d: _rounded(_montage(s, d)[0], 4),
@@ -286,6 +297,45 @@ def _mahalanobis() -> str:
         select task, query, candidate, round(sqrt(sum(gap[i] * v * gap[j - {n}])), 6) as score from d join e{n} on fold = subject and j > {n} group by task, query, candidate"""
 
 
+def _rotated(source: str, n: int, sweeps: int = 8) -> str:
+    """Jacobi's rotations of symmetric matrices (fold, a<i>_<j> for i <= j): ``j<last>`` has eigenvalues a<i>_<i> and vectors v<i>_<k>."""
+    a = lambda i, j: f"a{min(i, j)}_{max(i, j)}"
+    text = f", j0 as materialized (select *, {', '.join(f'{float(i == k)}::double as v{i}_{k}' for i in range(n) for k in range(n))} from {source})"
+    step = 0
+    for p, q in [(p, q) for _ in range(sweeps) for p in range(n) for q in range(p + 1, n)]:
+        angle = f"case when abs({a(p, q)}) < 1e-300 then 0 else 0.5 * atan2(2 * {a(p, q)}, {a(q, q)} - {a(p, p)}) end"
+        new = [f"c * c * {a(p, p)} - 2 * c * s * {a(p, q)} + s * s * {a(q, q)} as {a(p, p)}", f"s * s * {a(p, p)} + 2 * c * s * {a(p, q)} + c * c * {a(q, q)} as {a(q, q)}", f"0.0::double as {a(p, q)}"]
+        for k in range(n):
+            if k not in (p, q):
+                new += [f"c * {a(p, k)} - s * {a(q, k)} as {a(p, k)}", f"s * {a(p, k)} + c * {a(q, k)} as {a(q, k)}"]
+            new += [f"c * v{k}_{p} - s * v{k}_{q} as v{k}_{p}", f"s * v{k}_{p} + c * v{k}_{q} as v{k}_{q}"]
+        changed = {x.rsplit(" as ", 1)[1]: x for x in new}
+        every = [f"a{i}_{k}" for i in range(n) for k in range(i, n)] + [f"v{i}_{k}" for i in range(n) for k in range(n)]
+        text += f", j{step + 1} as materialized (select fold, {', '.join(changed.get(x, x) for x in every)} from (select *, cos(t) as c, sin(t) as s from (select *, {angle} as t from j{step})))"
+        step += 1
+    return text + f", eigen as (select * from j{step})"
+
+
+def _eigen_scores(kind: str) -> str:
+    """Distances by directions of the folds' own states: all, shrunk (low_rank), or without the two in which subjects' means differ most."""
+    f, n = R.FEATURES, len(R.FEATURES)
+    states = _mahalanobis().partition("a as materialized")[0]
+    gaps = _mahalanobis().partition("sd as (")[2].partition("select task, query")[0]
+    sd = {c: f"(case when stddev_samp({c}) < 1e-8 then 1 else stddev_samp({c}) end)" for c in f}
+    if kind == "low_rank":
+        matrix = ", ".join(f"covar_samp({f[i]}, {f[k]}) / {sd[f[i]]} / {sd[f[k]]} as a{i}_{k}" for i in range(n) for k in range(i, n))
+        source = f"m as (select fold, {matrix} from train group by fold)"
+        mean = " + ".join(f"greatest(a{k}_{k}, 1e-6)" for k in range(n))
+        terms = [f"pow({' + '.join(f'v{i}_{k} * gap[{i + 1}]' for i in range(n))}, 2) / (0.75 * greatest(a{k}_{k}, 1e-6) + 0.25 * ({mean}) / {n})" for k in range(n)]
+    else:
+        scatter = ", ".join(f"covar_pop(s.m_{f[i]}, s.m_{f[k]}) * count(*) / any_value(d.d_{f[i]}) / any_value(d.d_{f[k]}) as a{i}_{k}" for i in range(n) for k in range(i, n))
+        source = f"""own as (select fold, subject, {', '.join(f'avg({c}) as m_{c}' for c in f)} from train group by fold, subject), dv as (select fold, {', '.join(f'{sd[c]} as d_{c}' for c in f)} from train group by fold),
+            m as (select s.fold, {scatter} from own s join dv d on d.fold = s.fold group by s.fold)"""
+        larger = lambda k: " + ".join(f"case when a{i}_{i} > a{k}_{k} then 1 else 0 end" for i in range(n) if i != k)
+        terms = [f"case when {larger(k)} < 2 then 0 else pow({' + '.join(f'v{i}_{k} * gap[{i + 1}]' for i in range(n))}, 2) end" for k in range(n)]
+    return f"{states} {source}{_rotated('m', n)}, sd as ({gaps} select task, query, candidate, round(sqrt({' + '.join(terms)}), 6) as score from d join eigen on eigen.fold = d.subject"
+
+
 def _newton(rounds: int = 12) -> str:
     """The ranker's coefficients ``b<rounds>`` (w0: intercept) by Newton's steps, one elimination a step."""
     p = len(RANKED)
@@ -333,6 +383,27 @@ _CHAIN = """t as (select n_regionkey as recording, list_position(['click', 'erro
     whole as (select g.recording, a, b, abs(a - b) as path_length, min(size) as size from goals g join ends e on e.recording = g.recording and c >= least(a, b) and c < greatest(a, b) group by all having count(*) = abs(a - b))"""
 
 
+def _dealt() -> str:
+    """Every round's folds refitted from their own rows."""
+    p = len(R.FEATURES)
+    means = ", ".join(f"round(avg({c}), 8) as {n}" for n, c in (("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"), ("tax", "l_tax")))
+    x = list(R.FEATURES)
+    z = [f"({f} - m_{f}) / s_{f}" for f in x]
+    return f"""with v as materialized (select s_nationkey as subject, l_linestatus as task, l_returnflag as state, {means} from lineitem join supplier on l_suppkey = s_suppkey where l_returnflag in ('A', 'R') group by all),
+        t as materialized (select a.*, round(r.quantity - a.quantity, 8) as y from v a join v r on r.subject = a.subject and r.task = a.task where a.state = 'A' and r.state = 'R'),
+        o as (select subject, round, row_number() over (partition by round order by subject) as i, row_number() over (partition by round order by case when round = 0 then subject else cast('0x' || substr(md5(round || '|' || subject), 1, 8) as bigint) end, subject) as j from (select distinct subject from t), (select unnest(range({PERMUTED + 1})) as round)),
+        k as materialized (select a.round, a.subject, t.task, {", ".join(f"t.{f}" for f in x)}, y.y from o a join o b on b.round = a.round and b.j = a.i join t on t.subject = a.subject join t y on y.subject = b.subject and y.task = t.task),
+        tr as (select h.round, h.subject as held, k.* exclude (round, subject) from (select distinct round, subject from k) h join k on k.round = h.round and k.subject <> h.subject),
+        st as materialized (select round * 100 + held as fold, round, held, avg(y) as ym, {", ".join(f"avg({f}) as m_{f}, stddev_pop({f}) as s_{f}" for f in x)} from tr group by all having count(*) >= 8),
+        g as (select fold, unnest([{_products(z, z, 1)}, {_products(z, ["y - ym"], p + 1)}]) as e from tr join st on st.fold = tr.round * 100 + tr.held group by fold),
+        a as materialized (select fold, e.i as i, e.j as j, e.v + case when e.i = e.j then 1 else 0 end as v from g){_eliminated("a", p)},
+        w as (select fold, {", ".join(f"max(case when i = {i} then v end) as w{i}" for i in range(1, p + 1))} from e{p} where j = {p + 1} group by fold),
+        pr as (select k.round, y, ym + {" + ".join(f"w{i} * {c}" for i, c in enumerate(z, 1))} as pred from k join st on st.round = k.round and held = subject join w on w.fold = st.fold),
+        rk as (select round, rank() over (partition by round order by y) + (count(*) over (partition by round, y) - 1) / 2 as ry, rank() over (partition by round order by pred) + (count(*) over (partition by round, pred) - 1) / 2 as rp from pr),
+        s as materialized (select round, corr(ry, rp) as spearman from rk group by round)
+        select count(*) as n_rounds, round(any_value(observed), 6) as observed, round(avg(spearman), 6) as null_mean, round((1 + count(*) filter (spearman >= observed - 1e-12)) / (1 + count(*)), 6) as p_value from s, (select spearman as observed from s where round = 0) where round > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     last = 12
     frozen = f"{_newton(last)}, lin as (select query, candidate, is_true, w0 + {' + '.join(f'w{i} * ({f} - mean_{f}) / scale_{f}' for i, f in enumerate(RANKED, 1))} as linear from cand, fit, b{last} where task = 'O')"
@@ -350,9 +421,12 @@ def oracle_sql() -> dict[str, str]:
         "ridge_metrics": f"{_refitted()} select priority, count(*) as n, round(avg(abs(y_pred - total)), 3) as mae, round(sqrt(avg(pow(y_pred - total, 2))), 3) as rmse, round(corr(y_pred, total), 5) as pearson from pred group by priority",
         "factor_residuals": _freed(),
         "mahalanobis_scores": _mahalanobis(),
+        "low_rank_scores": _eigen_scores("low_rank"),
+        "subject_component_scores": _eigen_scores("components"),
         "ranker_coefficients": f"{_newton(last)} select 'intercept' as feature, null::double as fill, null::double as mean, null::double as scale, round(w0, 5) as coefficient from b{last} union all {named}",
         "ranker_scores": f"{frozen} select query, candidate, is_true, round(linear, 5) as linear, round(1 / (1 + exp(-greatest(least(linear, 50), -50))), 5) as probability from lin",
         "huber_slopes": _reweighted(),
+        "subject_permutation_null": _dealt(),
         "montage_signals": f"with {_CHAIN} select x.recording, a, b, x.n, round(x.v - y.v, 4) as value from whole w join t x on x.recording = w.recording and x.c = a join t y on y.recording = w.recording and y.c = b and y.n = x.n where size >= 128 and x.n < size and (select count(*) from t m where m.recording = w.recording and m.n = x.n and m.c between least(a, b) and greatest(a, b)) = path_length + 1",
         "montage_provenance": f"with {_CHAIN} select recording, a, b, case when size >= 128 then 'bipolar_path_sum' else 'bipolar_path_too_short' end as mode, cast(path_length as int) as path_length, array_to_string([case when a < b then (a + i)::varchar || (a + i + 1)::varchar || ':+1' else (a - i - 1)::varchar || (a - i)::varchar || ':-1' end for i in range(path_length)], ';') as sources from whole",
         "event_windows": f"with {_CLIPPED} select recording, round(onset, 6) as onset, round(duration, 6) as duration, condition, source from w",

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pairlens.operators import folds, spectra
+from pairlens.operators import folds, permutations, spectra
 
 FEATURES = ["a", "b", "c"]
 
@@ -154,3 +154,25 @@ def test_coherence_equals_plain_sums_and_missing_samples_are_means(spark):
     want = np.abs((np.conj(a) * b).sum(axis=0)) ** 2 / (np.abs(a) ** 2).sum(axis=0) / (np.abs(b) ** 2).sum(axis=0)
     assert np.allclose(got[(got.left == "x") & (got.right == "y")].sort_values("frequency").coherence, want)
     assert np.allclose(spectra.filled(np.array([0, 2]), np.array([1.0, 3.0]), 4), [-1, 0, 1, 0])
+
+
+
+def test_permutations_equal_refitting_every_round(spark):
+    f = table(n=30, subjects=6).drop_duplicates(["subject", "side"])
+    f.loc[f.index[3], "y"] = np.nan
+    rows = frame(spark, f)
+    deal = permutations.shuffled_subjects(rows, "subject", 12).toPandas()
+    assert (deal[deal["round"] == 0].subject == deal[deal["round"] == 0].donor).all()
+    got = permutations.permuted_ridge(rows, "subject", "side", "y", FEATURES, 12, least=4).toPandas().set_index("round")
+    assert len(got) == 13
+    y = f.set_index(["subject", "side"]).y
+    for r, d in deal.groupby("round"):
+        assert sorted(d.subject) == sorted(d.donor) == sorted(f.subject.unique())
+        g = f.copy()
+        g["y"] = [y.get((d.set_index("subject").donor[s], k), np.nan) for s, k in zip(g.subject, g.side)]
+        g = g[g.y.notna()]
+        want = pd.concat([pd.Series(refit(g[g.subject != s], g[g.subject == s], FEATURES)[0], index=g.index[g.subject == s]) for s in g.subject.unique() if (g.subject != s).sum() >= 4])
+        rho = np.corrcoef(g.y[want.index].rank(), want.rank())[0, 1]
+        assert got.n[r] == len(want) and abs(got.spearman[r] - rho) < 1e-9
+    summary = permutations.null_summary(spark.createDataFrame([(0, 5, 0.5), (1, 5, 0.5), (2, 5, 0.1), (3, 5, None)], "round long, n long, spearman double")).first()
+    assert (summary.n_rounds, summary.observed, summary.p_value) == (2, 0.5, 2 / 3) and abs(summary.null_mean - 0.3) < 1e-12
