@@ -13,12 +13,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import cut, give_back, table
+from pairlens.llm.common import Scratch, cut, give_back, table
 
 LENGTH = 50
 GRAM = 20
-#: Texts that several documents have (some 100 bytes each) up to which they are broadcast.
-FEW_OWNERS = 1 << 17
 LEAST_BUCKETS, BUCKET_BYTES, FLUSH_BYTES = 256, 32 << 20, 4 << 20
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -457,12 +455,11 @@ def strip_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     owners = cut(texts.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     every = F.lit(np.array([0, 1 << 60], np.int64).tobytes())
     copies = texts.join(owners, "digest").where("doc_id > owner").select("doc_id", "text_id", every.alias("ranges"))
-    # what a copy holds, the owner of its text holds too: copies need not be searched where their owners are few enough to broadcast
-    searched = named
-    if owners.count() <= FEW_OWNERS:
-        copy = (F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("digest")) & (F.col("doc_id") > F.col("owner"))
-        searched = named.join(F.broadcast(owners.select("digest", "owner")), copy, "left_anti")
-    marks = copies.unionByName(repeated_starts(searched, buckets)).groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "ranges")).alias("marks"))
+    # what a copy holds, the owner of its text holds too: copies need not be searched
+    copy = (F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("digest")) & (F.col("doc_id") > F.col("owner"))
+    with Scratch(spark) as keep:
+        searched = keep(named.join(owners.select("digest", "owner"), copy, "left_anti"))
+        marks = cut(copies.unionByName(repeated_starts(searched, buckets)).groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "ranges")).alias("marks")))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -471,7 +468,7 @@ def strip_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                 out = [cut_out(raw_of(t), m) for t, m in zip(some.column(1).to_pylist(), some.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int64())))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return docs.join(cut(marks), "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(strip, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(strip, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def cut_out(raw: bytes, marks: list[dict] | None) -> tuple[bytes, int, int, int]:
