@@ -78,14 +78,17 @@ def _distance(a: str, b: str, z: str) -> str:
     return f"round(({' + '.join(parts)}) / {len(P.GROUPS)}, 6)"
 
 
-def oracle_sql(both: str, vectors: str) -> dict[str, str]:
-    """``both``: a WITH clause up to the table ``p`` of pairs; ``vectors``: up to the table ``v`` of states."""
+KEY, ORDER = "condition, q_subject, q_task", "c_subject, c_task"
+
+
+def ranked_both_ways(both: str) -> str:
+    """``both`` and the relations after it, up to ``f``: every condition's candidates, with places in both directions."""
+    key, order = KEY, ORDER
     scale = ", ".join(f"avg(o.f_{c}) as m_{c}, case when stddev_samp(o.f_{c}) >= 1e-8 then stddev_samp(o.f_{c}) else 1 end as d_{c}" for c in FEATURES)
     off, on = ", ".join(f"x_{c} as f_{c}" for c in FEATURES), ", ".join(f"x_{c} + y_{c} as f_{c}" for c in FEATURES)
     sides = ", ".join(f"q.x_{c} as qoff_{c}, c.x_{c} + c.y_{c} as con_{c}" for c in FEATURES)
     price = "round(abs((qoff_price - zq.m_price) / zq.d_price - (con_price - zq.m_price) / zq.d_price), 6)"
-    key, order = "condition, q_subject, q_task", "c_subject, c_task"
-    base = f"""{both}, st as (select subject, {off} from p union all select subject, {on} from p),
+    return f"""{both}, st as (select subject, {off} from p union all select subject, {on} from p),
         z as (select s.subject, {scale} from (select distinct subject from p) s join st o on o.subject <> s.subject group by s.subject having count(*) > 1),
         c2 as (select q.subject as q_subject, q.task as q_task, c.subject as c_subject, c.task as c_task, {sides} from p q cross join p c),
         sc as (select q_subject, q_task, c_subject, c_task, {_distance("qoff", "con", "zq")} as score, {price} as second, {_distance("con", "qoff", "zc")} as back
@@ -94,6 +97,11 @@ def oracle_sql(both: str, vectors: str) -> dict[str, str]:
             on condition = 'all' or q_task = c_task or (condition = 'same_subject_added' and q_subject = c_subject)),
         f as (select *, cast(row_number() over (partition by {key} order by score, {order}) as int) as rank, count(*) over (partition by {key}) as n_candidates,
             cast(row_number() over (partition by condition, c_subject, c_task order by back, q_subject, q_task) as int) as back_rank from k)"""
+
+
+def oracle_sql(both: str, vectors: str) -> dict[str, str]:
+    """``both``: a WITH clause up to the table ``p`` of pairs; ``vectors``: up to the table ``v`` of states."""
+    key, order, base = KEY, ORDER, ranked_both_ways(both)
     zs = lambda x, extra="": f"(({x}) - avg({x}) over (partition by {key}{extra})) / case when stddev_pop({x}) over (partition by {key}{extra}) > 1e-9 then stddev_pop({x}) over (partition by {key}{extra}) else 1 end"
     new = {
         "gated": f"round(case when rank <= {P.TOP_K} then -({zs('-score', f', rank <= {P.TOP_K}')} + {P.SECOND_WEIGHT} * {zs('-second', f', rank <= {P.TOP_K}')}) else 1000.0 + rank end, 6)",
