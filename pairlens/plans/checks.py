@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlens.operators import geometry_null as G
 from pairlens.operators import pools as P
 from pairlens.operators import quality_rerank as Q
 from pairlens.operators import retrieval as R
+from pairlens.operators import targets as T
+from pairlens.sources.cache import checkpointed
 
 ROUNDS = 5000
 
@@ -59,14 +61,67 @@ def _reranked(spark: SparkSession, d: str) -> DataFrame:
     return Q.reranked(Q.terms(P.pool_scores(pairs), P.pool_scores(P.reverse_pairs(pairs), ("all",)), flags))
 
 
+#: Measures of lines and what brings their hundredths to one size; tax stands for edges, the part type ECONOMY for sensitive nodes.
+MEASURES = {"quantity": ("l_quantity", 1000), "price": ("l_extendedprice", 1000000), "discount": ("l_discount", 5), "tax": ("l_tax", 5)}
+NODES = ("ECONOMY",)
+
+
+def target_states(spark: SparkSession, d: str) -> DataFrame:
+    """Mean measures by part type (features) of every nation's customers, order priority (task) and return flag A (off) or R (on).
+
+    ``quality`` is that of the nation's task, by its number of off lines.
+    """
+    lines = _table(spark, d, "lineitem").where("l_returnflag in ('A', 'R')").join(_table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"), "o_orderpriority"), "l_orderkey")
+    lines = lines.join(_table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("subject")), "c_custkey").join(_table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_type").alias("type")), "l_partkey")
+    tasks = F.create_map(*(F.lit(x) for pair in (("1", "HoldL"), ("2", "HoldR"), ("3", "MoveL"), ("4", "MoveR")) for x in pair))
+    task = F.coalesce(tasks[F.left("o_orderpriority", F.lit(1))], F.lit("Rest")).alias("task")
+    medication = F.when(F.col("l_returnflag") == "A", "off").otherwise("on").alias("medication")
+    means = lines.groupBy("subject", task, medication, "type").agg(F.count(F.lit(1)).alias("n"), *((F.sum(F.round(F.col(c) * 100).cast("long")) / (F.count(F.lit(1)) * size)).alias(m) for m, (c, size) in MEASURES.items()))
+    n = F.sum(F.when(F.col("medication") == "off", F.col("n")).otherwise(0)).over(Window.partitionBy("subject", "task"))
+    quality = F.when(n % 5 == 0, "low_quality").when(n % 3 == 0, "caution").otherwise("good").alias("quality")
+    long = F.explode(F.array(*(F.struct(F.concat("type", F.lit(f"_{m}")).alias("feature"), F.col(m).alias("value")) for m in MEASURES))).alias("e")
+    return means.select("subject", "task", "medication", quality, "type", long).select("subject", "task", "medication", "quality", "e.feature", "e.value")
+
+
+def _descriptors(states: DataFrame) -> DataFrame:
+    kind = F.when(F.col("feature").endswith("_tax"), T.EDGE).otherwise("node_band_modulation")
+    return states.select("feature").distinct().select("feature", F.upper(F.substring_index("feature", "_", 1)).alias("node"), kind.alias("target_type"))
+
+
+def _targets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """States and the rankings of their contexts."""
+    states = checkpointed(target_states(spark, d))
+    return states, T.rank_targets(states, _descriptors(states), NODES)
+
+
+def _left_out(spark: SparkSession, d: str) -> DataFrame:
+    states = checkpointed(target_states(spark, d))
+    return T.rank_without_subjects(states, _descriptors(states), NODES)
+
+
+def _reliabilities(spark: SparkSession, d: str, **only: str) -> tuple[DataFrame, DataFrame]:
+    states, ranks = _targets(spark, d)
+    ranks = checkpointed(ranks)
+    people = states.select("subject").distinct().count()
+    base = T.reliability(ranks, people, known=_descriptors(states))
+    return base, T.sideaware_reliability(ranks, base, _descriptors(states), **only)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "geometry_traits": traits,
         "geometry_permutation_null": lambda s, d: _geometry(s, d, []),
         "geometry_permutation_null_in_tasks": lambda s, d: _geometry(s, d, ["task"]),
         "quality_rerank": lambda s, d: _reranked(s, d).select(*Q.LIST, *P.CANDIDATE, "applied", "new_score", "new_rank"),
-        "quality_rerank_components": lambda s, d: _rounded(Q.components(_reranked(s, d))),
+        "quality_rerank_components": lambda s, d: _rounded(Q.components(_reranked(s, d)), 10),
         "quality_rerank_first_places": lambda s, d: _rounded(Q.first_places(_reranked(s, d))),
+        "target_states": target_states,
+        "target_ranks": lambda s, d: _rounded(_targets(s, d)[1], 10),
+        "targets_without_subjects": lambda s, d: _rounded(_left_out(s, d).withColumn("removed_subject", F.coalesce(F.col("removed_subject").cast("string"), F.lit("nobody"))), 10),
+        "target_left_out_stability": lambda s, d: _rounded(T.left_out_stability(_left_out(s, d))),
+        "target_reliability": lambda s, d: _rounded(_reliabilities(s, d)[0]),
+        "target_reliability_sideaware": lambda s, d: _rounded(_reliabilities(s, d)[1]),
+        "target_reliability_weights": lambda s, d: _rounded(T.reliability_weights(*_reliabilities(s, d))),
     }
 
 
@@ -111,18 +166,92 @@ def _gates(base: str) -> str:
         ev as (select *, cast(row_number() over (partition by variant, condition, q_subject, q_task order by new_score, rank) as int) as new_rank from ({each}))"""
 
 
+def _places(source: str, by: str) -> str:
+    """Relations ``rp``: every context of ``source`` (``by``, off, feature, value) ranked from its own rows."""
+    return f"""mo as (select {by}, feature, avg(value) filter (off) as cur, avg(value) filter (not off) as tgt, avg(value) as mid, stddev_samp(value) filter (not off) as d_on, stddev_samp(value) as d_all, count(*) filter (off) as n_off, count(*) filter (not off) as n_on from {source} group by {by}, feature),
+        mf as (select *, max(n_off) over c as any_off, max(n_on) over c as any_on from mo window c as (partition by {by})),
+        mg as (select {by}, feature, case when any_off > 0 then cur else mid end as cur, case when any_on > 0 then tgt else mid end as tgt, greatest(coalesce(case when any_on > 1 then d_on else d_all end, 0), 0.1) as d from mf),
+        mh as (select *, 0.6 * (tgt - cur) as effect, case when feature like 'economy%' then 0.6 else 0.25 end + case when ends_with(feature, '_tax') then 0.1 else 0 end as risk from mg where cur is not null and tgt is not null),
+        mp as (select *, sqrt(avg(pow((tgt - cur) / d, 2)) over c) as before, sqrt((sum(pow((tgt - cur) / d, 2)) over c - pow((tgt - cur) / d, 2) + pow((tgt - cur - effect) / d, 2)) / count(*) over c) as post from mh window c as (partition by {by})),
+        mq as (select *, 0.05 + 0.05 * abs(effect) + 0.1 * risk as uncertainty, 1 / (1 + abs(effect)) as stability_estimate, round(before - post, 9) as gain from mp),
+        mr as (select *, round(post + 0.15 * effect * effect + 0.25 * risk + 0.1 * case when ends_with(feature, '_tax') then 0.45 else 0.25 end - 0.2 * stability_estimate, 9) as objective from mq),
+        rp as materialized (select {by}, feature, cast(row_number() over (partition by {by} order by objective, gain desc, feature) as int) as rank, objective, gain as expected_delta_deviation, effect as effect_size, uncertainty, stability_estimate from mr)"""
+
+
+def _states() -> str:
+    means = ", ".join(f"sum(cast(round({c} * 100) as bigint))::double / (count(*) * {size}) as {m}" for m, (c, size) in MEASURES.items())
+    rows = " union all ".join(f"select subject, task, medication, quality, type || '_{m}' as feature, {m} as value from qs" for m in MEASURES)
+    return f"""ln as (select c_nationkey as subject, case left(o_orderpriority, 1) when '1' then 'HoldL' when '2' then 'HoldR' when '3' then 'MoveL' when '4' then 'MoveR' else 'Rest' end as task, case l_returnflag when 'A' then 'off' else 'on' end as medication, lower(p_type) as type, lineitem.*
+            from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey where l_returnflag in ('A', 'R')),
+        ns as (select subject, task, count(*) filter (medication = 'off') as n from ln group by all),
+        qs as (select ln.subject, ln.task, medication, case when n % 5 = 0 then 'low_quality' when n % 3 = 0 then 'caution' else 'good' end as quality, type, {means} from ln join ns on ns.subject = ln.subject and ns.task = ln.task group by all),
+        ts as materialized ({rows})"""
+
+
+def _in_contexts() -> str:
+    """``cx``: the states of each context, one select a kind of context; then their rankings."""
+    kinds = [("overall", "'all_recordings'", "true", "''", "''", "''", "''"), ("task", "task", "task in ('HoldL', 'MoveL')", "task", "''", "''", "''"), ("subject_task", "task || ':' || subject", "true", "task", "subject::varchar", "''", "''"),
+             ("quality", "'exclude_low_quality'", "quality <> 'low_quality'", "''", "''", "''", "''"), ("quality", "'good_only'", "quality = 'good'", "''", "''", "''", "''"), ("sideaware", "task", "task <> 'Rest'", "left(task, 4)", "''", "right(task, 1)", "left(task, 4)"),
+             ("sideaware", "'left_side'", "task in ('HoldL', 'MoveL')", "''", "''", "'L'", "''"), ("sideaware", "'right_side'", "task in ('HoldR', 'MoveR')", "''", "''", "'R'", "''"),
+             ("sideaware", "'hold_family'", "task like 'Hold%'", "'Hold'", "''", "''", "'Hold'"), ("sideaware", "'move_family'", "task like 'Move%'", "'Move'", "''", "''", "'Move'")]
+    rows = " union all ".join(f"select '{k}' as rank_source, '{k}:' || {n} as rank_context, {t} as task_context, {u} as subject_context, {s} as side_context, {f} as family_context, medication = 'off' as off, feature, value from ts where {w}" for k, n, w, t, u, s, f in kinds)
+    return f"with {_states()}, cx as materialized ({rows}), {_places('cx', ', '.join(T.CONTEXT))}"
+
+
+def _scored(name: str, sources: str, last: str) -> str:
+    """``<name>``: every feature in every context of the sources, missing ones written out, and their statistics."""
+    return f"""{name}_o as materialized (select * from rp where rank_source in {sources}), {name}_n as (select distinct feature from ts),
+        {name}_c as (select distinct rank_source, rank_context from {name}_o), {name}_w as (select 1 + greatest((select max(rank) from {name}_o), (select count(*) from {name}_n)) as gone),
+        {name}_a as (select c.rank_source, c.rank_context, n.feature, o.task_context, o.subject_context, o.side_context, o.family_context, coalesce(o.rank, gone) as rank, expected_delta_deviation, uncertainty, stability_estimate
+            from {name}_c c cross join {name}_n n cross join {name}_w left join {name}_o o on o.rank_context = c.rank_context and o.feature = n.feature),
+        {name}_s as (select feature, count(*) as n_contexts, avg((rank <= 5)::int) as top5_frequency, avg((rank <= 10)::int) as top10_frequency, avg(rank) as mean_rank, median(rank) as median_rank, stddev_pop(rank) as rank_sd,
+            count(distinct subject_context) filter (rank <= 10 and rank_source = 'subject_task') as n_subjects, count(distinct task_context) filter (rank <= 10 and task_context in ('HoldL', 'MoveL')) as n_tasks,
+            coalesce(bool_or(rank <= 10) filter (rank_context like 'quality:exclude%'), false) as survives, coalesce(bool_or(rank <= 10) filter (rank_context = 'quality:good_only'), false) as in_good, avg(expected_delta_deviation) as mean_expected_delta, avg(uncertainty) as mean_uncertainty,
+            least(greatest(coalesce(avg(stability_estimate), 0.5), 0), 1) as stability, (coalesce(bool_or(rank <= 10) filter (side_context = 'L'), false)::int + coalesce(bool_or(rank <= 10) filter (side_context = 'R'), false)::int) / 2 as side_coverage,
+            (coalesce(bool_or(rank <= 10) filter (family_context = 'Hold'), false)::int + coalesce(bool_or(rank <= 10) filter (family_context = 'Move'), false)::int) / 2 as family_coverage from {name}_a group by feature),
+        {name} as materialized (select * exclude ({last}), least(greatest(1 - (mean_rank - 1) / greatest(1, (select greatest(max(rank), count(distinct feature)) from {name}_a) - 1), 0), 1) as rank_score,
+            coalesce(case when max(mean_uncertainty) over () - min(mean_uncertainty) over () <= 1e-8 + 1e-5 * abs(min(mean_uncertainty) over ()) then 0.5 else 1 - (mean_uncertainty - min(mean_uncertainty) over ()) / (max(mean_uncertainty) over () - min(mean_uncertainty) over ()) end, 0.5) as uncertainty_score,
+            (survives::int + in_good::int) / 2 as quality_survival from {name}_s)"""
+
+
+_RELIABLE = f"""{{0}}, {_scored("ba", "('overall', 'task', 'subject_task', 'quality')", "side_coverage, family_coverage")},
+    bs as materialized (select *, n_subjects / (select count(distinct subject) from ts) as subject_coverage, n_tasks / 2 as task_coverage from ba),
+    rb as materialized (select *, 0.25 * top10_frequency + 0.15 * rank_score + 0.15 * subject_coverage + 0.1 * task_coverage + 0.15 * quality_survival + 0.1 * uncertainty_score + 0.1 * stability as reliability_score from bs),
+    {_scored("si", "('sideaware', 'quality')", "n_subjects, n_tasks")},
+    rs as materialized (select si.*, bs.n_subjects, bs.n_tasks, bs.subject_coverage, 0.2 * si.top10_frequency + 0.15 * si.rank_score + 0.1 * bs.subject_coverage + 0.1 * si.side_coverage + 0.1 * si.family_coverage + 0.15 * si.quality_survival + 0.1 * si.uncertainty_score
+        + 0.1 * si.stability as sideaware_reliability_score from si join bs on bs.feature = si.feature)"""
+
+
+_RANKED = ("objective", "expected_delta_deviation", "effect_size", "uncertainty", "stability_estimate")
+_COUNTED = ("top5_frequency", "top10_frequency", "mean_rank", "median_rank", "rank_sd", "mean_expected_delta", "mean_uncertainty", "stability", "rank_score", "uncertainty_score", "quality_survival", "subject_coverage")
+
+
+def _six(source: str, *names: str, digits: int = 6, more: str = "") -> str:
+    return f"select * replace ({', '.join(f'round({n}, {digits}) as {n}' for n in names)}{more}) from {source}"
+
+
 def oracle_sql(base: str) -> dict[str, str]:
     """``base``: a WITH clause's relations up to ``f``, the ranked candidates of each condition in both directions."""
     own, right = "q_subject = c_subject", "q_subject = c_subject and q_task = c_task"
+    reliable = _RELIABLE.format(_in_contexts())
+    out = f"with {_states()}, cx as materialized (select s.removed_subject, ts.medication = 'off' as off, feature, value from (select distinct subject as removed_subject from ts union all select null) s join ts on ts.subject is distinct from s.removed_subject), {_places('cx', 'removed_subject')}"
     share = lambda x, on: f"round(avg(({x})::int) filter ({on}), 6)"
     return {
         "geometry_traits": f"with {_TRAITS} select id, task, source, center, span from tr",
         "geometry_permutation_null": _dealt(base, ""),
         "geometry_permutation_null_in_tasks": _dealt(base, ", task"),
+        "target_states": f"with {_states()} select * from ts",
+        "target_ranks": f"{_in_contexts()} {_six('rp', *_RANKED, digits=10)}",
+        "targets_without_subjects": f"""{out} {_six("rp", *_RANKED, digits=10, more=", coalesce(removed_subject::varchar, 'nobody') as removed_subject")}""",
+        "target_left_out_stability": f"""{out}, fu as (select feature, rank as first from rp where removed_subject is null) select removed_subject, max(feature) filter (rank = 1) as top1_feature, count(*) filter (rank <= 10 and first <= 10) as top10_overlap,
+            round(count(*) filter (rank <= 10 and first <= 10) / 10, 6) as top10_overlap_fraction, max(rank) filter (first = 1) - 1 as full_top1_shift, coalesce(max(rank) filter (first = 1) <= 10, false) as full_top1_stays from rp left join fu using (feature) where removed_subject is not null group by removed_subject""",
+        "target_reliability": f"{reliable} {_six('rb', *_COUNTED, 'task_coverage', 'reliability_score')}",
+        "target_reliability_sideaware": f"{reliable} {_six('rs', *_COUNTED, 'side_coverage', 'family_coverage', 'sideaware_reliability_score')}",
+        "target_reliability_weights": f"{reliable}, av as (select feature, avg(v) as v from (select feature, reliability_score as v from rb union all select feature, sideaware_reliability_score from rs) u group by feature) select feature, round(least(greatest(v / max(v) over (), 0.05), 1), 6) as weight from av",
         "quality_rerank": f"{_gates(base)} select variant, condition, q_subject, q_task, c_subject, c_task, applied, new_score, new_rank from ev",
         "quality_rerank_components": f"""{_gates(base)} select variant, condition, q_subject, q_task, max(n_candidates) as n_candidates, bool_or(applied) as applied, max(rank) filter ({right}) as forward_rank, max(reverse_rank) filter ({right}) as reverse_rank,
             max(new_rank) filter ({right}) as new_rank, bool_or(front and behind) filter ({right}) as true_mutual, max(overlap) filter ({right}) as true_overlap, bool_or(fq <> fc) filter ({right}) as true_other_quality, count(*) filter (front and behind) as n_mutual,
-            round(avg(overlap), 6) as mean_overlap, count(*) filter (fq <> fc) as n_other_quality, count(*) filter (q_task <> c_task) as n_other_task, count(*) filter ({own} and q_task <> c_task) as n_same_subject_wrong from ev group by variant, condition, q_subject, q_task""",
+            round(avg(overlap), 10) as mean_overlap, count(*) filter (fq <> fc) as n_other_quality, count(*) filter (q_task <> c_task) as n_other_task, count(*) filter ({own} and q_task <> c_task) as n_same_subject_wrong from ev group by variant, condition, q_subject, q_task""",
         "quality_rerank_first_places": f"""{_gates(base)} select condition, variant, {share(own, "new_rank = 1")} as top_same_subject, {share(f"{own} and q_task <> c_task", "new_rank = 1")} as top_same_subject_wrong, {share("q_task <> c_task", "new_rank = 1")} as top_other_task,
             {share("fq <> fc", "new_rank = 1")} as top_other_quality, count(*) filter ({right}) as n_queries, {share("new_rank = 1", right)} as top1, round(avg(1 / new_rank) filter ({right}), 6) as mrr from ev group by condition, variant""",
     }
