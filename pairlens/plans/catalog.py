@@ -49,7 +49,7 @@ def oracle_sql() -> dict[str, str]:
     distance = " + ".join(f"pow((q.x_{c} - (c.x_{c} + c.y_{c})) / z.sd_{c}, 2)" for c in f)
     ranked = f"{both}, {scale}, s as (select q.task, q.subject as query, c.subject as candidate, round(sqrt({distance}), 6) as score from p q join z on z.subject = q.subject join p c on c.task = q.task), k as (select *, cast(row_number() over (partition by task, query order by score, candidate) as int) as rank, query = candidate as is_true from s)"
     measures = "count(*) as n_queries, round(avg(case when rank = 1 then 1.0 else 0.0 end), 6) as top1, round(avg(case when rank <= 3 then 1.0 else 0.0 end), 6) as top3, round(avg(1.0 / rank), 6) as mrr, round(avg(rank), 6) as mean_rank"
-    return models.oracle_sql() | checks.oracle_sql(audit.ranked_both_ways(both)) | audit.oracle_sql(both, vectors) | {n: book.render(n, evidence.BOOK, False) for n in NAMED} | {
+    return models.oracle_sql() | checks.oracle_sql(audit.ranked_both_ways(both), both) | audit.oracle_sql(both, vectors) | {n: book.render(n, evidence.BOOK, False) for n in NAMED} | {
         "retrieval_state_vectors": f"with {vectors} select * from v",
         "retrieval_pairs": f"with {both} select * from p",
         "retrieval_candidates": f"with {ranked} select * from k",

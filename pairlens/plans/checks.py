@@ -11,6 +11,7 @@ from pairlens.operators import geometry_null as G
 from pairlens.operators import pools as P
 from pairlens.operators import quality_rerank as Q
 from pairlens.operators import retrieval as R
+from pairlens.operators import sensitivity as V
 from pairlens.operators import targets as T
 from pairlens.sources.cache import checkpointed
 
@@ -107,6 +108,13 @@ def _reliabilities(spark: SparkSession, d: str, **only: str) -> tuple[DataFrame,
     return base, T.sideaware_reliability(ranks, base, _descriptors(states), **only)
 
 
+def _subsets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs, and their subsets: all, without each subject, without each task, of each task only."""
+    pairs = checkpointed(_pairs(spark, d))
+    members = V.whole(pairs).unionByName(V.left_out(pairs, "subject", "without_subject")).unionByName(V.left_out(pairs, "task", "without_task")).unionByName(V.kept_only(pairs, "task", "only_task"))
+    return pairs, members
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "geometry_traits": traits,
@@ -115,6 +123,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "quality_rerank": lambda s, d: _reranked(s, d).select(*Q.LIST, *P.CANDIDATE, "applied", "new_score", "new_rank"),
         "quality_rerank_components": lambda s, d: _rounded(Q.components(_reranked(s, d)), 10),
         "quality_rerank_first_places": lambda s, d: _rounded(Q.first_places(_reranked(s, d))),
+        "refitted_scores": lambda s, d: P.gated(V.refitted_scores(*_subsets(s, d))).select(*P.QUERY, *P.CANDIDATE, "score", "second", "rank", "new_rank"),
+        "refit_sensitivity": lambda s, d: _rounded(V.sensitivity(*_subsets(s, d))),
         "target_states": target_states,
         "target_ranks": lambda s, d: _rounded(_targets(s, d)[1], 10),
         "targets_without_subjects": lambda s, d: _rounded(_left_out(s, d).withColumn("removed_subject", F.coalesce(F.col("removed_subject").cast("string"), F.lit("nobody"))), 10),
@@ -230,8 +240,27 @@ def _six(source: str, *names: str, digits: int = 6, more: str = "") -> str:
     return f"select * replace ({', '.join(f'round({n}, {digits}) as {n}' for n in names)}{more}) from {source}"
 
 
-def oracle_sql(base: str) -> dict[str, str]:
-    """``base``: a WITH clause's relations up to ``f``, the ranked candidates of each condition in both directions."""
+def _refits() -> str:
+    """Relations after the pairs ``p``: every subset's scales from its own rows, its lists, and their order by both scores."""
+    f = R.FEATURES
+    off, on = ", ".join(f"x_{c} as f_{c}" for c in f), ", ".join(f"x_{c} + y_{c} as f_{c}" for c in f)
+    scale = ", ".join(f"avg(f_{c}) as m_{c}, case when stddev_samp(f_{c}) >= 1e-8 then stddev_samp(f_{c}) else 1 end as d_{c}" for c in f)
+    q, c = {x: f"(q.x_{x} - m_{x}) / d_{x}" for x in f}, {x: f"(c.x_{x} + c.y_{x} - m_{x}) / d_{x}" for x in f}
+    cosine = " + ".join(f"coalesce(1 - list_cosine_similarity([{', '.join(q[x] for x in g)}], [{', '.join(c[x] for x in g)}]), 1)" for g in P.GROUPS)
+    z = lambda x: f"((-{x}) - avg(-{x}) over w) / case when stddev_pop({x}) over w > 1e-9 then stddev_pop({x}) over w else 1 end"
+    return f"""mb as materialized (select 'all' as condition, p.* from p union all select 'without_subject:' || s.subject, p.* from p join (select distinct subject from p) s on s.subject <> p.subject
+            union all select 'without_task:' || s.task, p.* from p join (select distinct task from p) s on s.task <> p.task union all select 'only_task:' || task, p.* from p),
+        sm as (select condition, subject, {off} from mb union all select condition, subject, {on} from mb),
+        zz as materialized (select s.condition, s.subject, {scale} from (select distinct condition, subject from mb) s join sm on sm.condition = s.condition and sm.subject <> s.subject group by all having count(*) > 1),
+        ll as materialized (select q.condition, q.subject as q_subject, q.task as q_task, c.subject as c_subject, c.task as c_task, round(({cosine}) / {len(P.GROUPS)}, 6) as score, round(abs({q["price"]} - {c["price"]}), 6) as second
+            from mb q join zz on zz.condition = q.condition and zz.subject = q.subject join mb c on c.condition = q.condition and c.task = q.task),
+        l1 as (select *, cast(row_number() over (partition by condition, q_subject, q_task order by score, c_subject) as int) as rank from ll),
+        l2 as (select *, round(case when rank <= {P.TOP_K} then -({z("score")} + {P.SECOND_WEIGHT} * ({z("second")})) else 1000.0 + rank end, 6) as fused from l1 window w as (partition by condition, q_subject, q_task, rank <= {P.TOP_K})),
+        l3 as materialized (select *, cast(row_number() over (partition by condition, q_subject, q_task order by fused, c_subject) as int) as new_rank from l2)"""
+
+
+def oracle_sql(base: str, pairs: str) -> dict[str, str]:
+    """``pairs``: a WITH clause's relations up to ``p``, the pairs; ``base``: a WITH clause's relations up to ``f``, the ranked candidates of each condition in both directions."""
     own, right = "q_subject = c_subject", "q_subject = c_subject and q_task = c_task"
     reliable = _RELIABLE.format(_in_contexts())
     out = f"with {_states()}, cx as materialized (select s.removed_subject, ts.medication = 'off' as off, feature, value from (select distinct subject as removed_subject from ts union all select null) s join ts on ts.subject is distinct from s.removed_subject), {_places('cx', 'removed_subject')}"
@@ -240,6 +269,11 @@ def oracle_sql(base: str) -> dict[str, str]:
         "geometry_traits": f"with {_TRAITS} select id, task, source, center, span from tr",
         "geometry_permutation_null": _dealt(base, ""),
         "geometry_permutation_null_in_tasks": _dealt(base, ", task"),
+        "refitted_scores": f"with {pairs}, {_refits()} select condition, q_subject, q_task, c_subject, c_task, score, second, rank, new_rank from l3",
+        "refit_sensitivity": f"""with {pairs}, {_refits()}, ra as (select condition, count(*) as n_queries, avg((rank = 1)::int) as base_top1, avg(1 / rank) as base_mrr, avg((new_rank = 1)::int) as gated_top1, avg(1 / new_rank) as gated_mrr from l3 where q_subject = c_subject group by condition),
+            si as (select condition, count(*) as n_pairs, count(distinct subject) as n_subjects from mb group by condition), wh as (select gated_top1 as t, gated_mrr as r from ra where condition = 'all')
+            select condition, n_pairs, n_subjects, n_queries, {", ".join(f"round({n}, 6) as {n}" for n in ("base_top1", "base_mrr", "gated_top1", "gated_mrr"))}, round(t - gated_top1, 6) as top1_drop, round(r - gated_mrr, 6) as mrr_drop, round(gated_top1 - base_top1, 6) as gain_top1,
+            round(gated_mrr - base_mrr, 6) as gain_mrr, t - gated_top1 >= 0.25 - 1e-12 or r - gated_mrr >= 0.2 - 1e-12 or gated_top1 <= 0.5 as collapse from si left join ra using (condition), wh""",
         "target_states": f"with {_states()} select * from ts",
         "target_ranks": f"{_in_contexts()} {_six('rp', *_RANKED, digits=10)}",
         "targets_without_subjects": f"""{out} {_six("rp", *_RANKED, digits=10, more=", coalesce(removed_subject::varchar, 'nobody') as removed_subject")}""",
