@@ -18,6 +18,8 @@ from pairlens.llm.common import Scratch, cut, give_back, table
 LENGTH = 50
 GRAM = 20
 LEAST_BUCKETS, BUCKET_BYTES, FLUSH_BYTES = 256, 32 << 20, 4 << 20
+#: Passes over the texts, each of which exchanges the contexts of a share of the grams.
+ROUNDS = 2
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -102,8 +104,7 @@ def suffix_array(s: list[int]) -> list[int]:
 
 
 def gram_hashes(a: np.ndarray, k: int = GRAM) -> np.ndarray:
-    n, w = len(a) - k + 1, np.lib.stride_tricks.sliding_window_view(a, 8)
-    w = np.ascontiguousarray(w).view("<u8").ravel()
+    n, w = len(a) - k + 1, np.ndarray(len(a) - 7, "<u8", a, 0, (1,)).copy()
     h = w[:n] * _MIX
     for o in [*range(8, k - 8, 8), k - 8]:
         h = (h ^ (h >> np.uint64(31))) * _MIX + w[o : o + n]
@@ -112,7 +113,10 @@ def gram_hashes(a: np.ndarray, k: int = GRAM) -> np.ndarray:
 
 
 def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of starts of 50-byte strings with the same least gram hash: the hash, first start, and one past the last."""
+    """Runs of starts of 50-byte strings with the same least gram hash: the hash, first start, and one past the last.
+
+    Least hashes are small numbers; they are mixed anew, so that their leading bits name buckets and places of the bitmap evenly.
+    """
     if len(raw) < LENGTH:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     m, size, w = gram_hashes(np.frombuffer(raw, np.uint8)), 1, LENGTH - GRAM + 1
@@ -122,7 +126,7 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size *= 2
     m = np.minimum(m[:n], m[w - size : w - size + n])
     s = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-    return m[s], s, np.append(s[1:], n)
+    return m[s] * _MIX2, s, np.append(s[1:], n)
 
 
 def shared_strings(contexts: list[tuple[bytes, int]], chunk: int = 1 << 16) -> list[tuple[int, int, int]]:
@@ -308,7 +312,7 @@ def repeated_grams(docs: DataFrame, buckets: int, bits: int) -> bytes:
     return packed.tobytes()
 
 
-def repeated_starts(docs: DataFrame, buckets: int, bits: int = 27, remembered: int = 100_000) -> DataFrame:
+def repeated_starts(docs: DataFrame, buckets: int, bits: int = 27, remembered: int = 100_000, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id``, ``text_id``, ``ranges`` (pairs of longs: starts of 50-byte strings that a smaller doc_id holds), several rows a document.
 
     Every 50-byte string contains the gram of least hash among its grams; equal strings choose equal grams. Only strings whose gram
@@ -316,10 +320,12 @@ def repeated_starts(docs: DataFrame, buckets: int, bits: int = 27, remembered: i
     and a second one cuts out the bytes around each marked gram (a context: all 50-byte strings that chose it). A context that the
     same task has seen in a smaller document is marked at once; the others are dealt by gram, cut to the pieces whose hashes several
     contexts have, and suffix arrays over the pieces of each gram find which of their strings agree. A gram that a third of the rows hold sends one context a task for each distinct one.
+    Contexts overlap, so all of them are about four times the text. Each of ``rounds`` passes exchanges those of its share of the grams
+    and keeps only the ranges, so the exchange is that part of them on disk even where every gram is shared.
     """
     seen_twice = docs.sparkSession.sparkContext.broadcast(repeated_grams(docs, buckets, bits))
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         marks, known, whole_texts = np.frombuffer(seen_twice.value, np.uint8), {}, {}
         packer = zstandard.ZstdCompressor(3)
         docs_, texts_, grams, owners, starts, bodies, here, held = [], [], [], [], [], [], [], 0
@@ -344,7 +350,7 @@ def repeated_starts(docs: DataFrame, buckets: int, bits: int = 27, remembered: i
                     whole_texts[digest] = doc
                     h, s, e = anchors(raw)
                     top = (h >> np.uint64(64 - bits)).astype(np.int64)
-                    keep = (marks[top >> 3] >> (top & 7)) & 1 > 0
+                    keep = ((marks[top >> 3] >> (top & 7)) & 1 > 0) & (h % np.uint64(rounds) == turn)
                     if not keep.any():
                         continue
                     tid, own, n = text_id(raw), [], len(bodies)
@@ -397,8 +403,11 @@ def repeated_starts(docs: DataFrame, buckets: int, bits: int = 27, remembered: i
         new = pd.DataFrame({"doc_id": [str(k[0]) for k in per], "text_id": [str(k[1]) for k in per], "blob": [np.array(v, np.int64).tobytes() for v in per.values()]})
         return pd.concat([part.loc[ready, ["doc_id", "text_id", "blob"]], new])
 
-    found = docs.mapInArrow(contexts, "bucket int, doc_id string, text_id string, blob binary")
-    settled = found.groupBy("bucket").applyInPandas(settle, "doc_id string, text_id string, blob binary")
+    settled = None
+    for turn in range(rounds):
+        found = docs.mapInArrow(lambda batches, turn=turn: contexts(batches, turn), "bucket int, doc_id string, text_id string, blob binary")
+        some = cut(found.groupBy("bucket").applyInPandas(settle, "doc_id string, text_id string, blob binary"))
+        settled = some if settled is None else settled.unionByName(some)
     return settled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text_id").cast("long").alias("text_id"), F.col("blob").alias("ranges"))
 
 
@@ -410,7 +419,7 @@ def dealt_contexts(buckets: int, docs: list[int], texts: list[int], grams: list[
     g, o = np.array(grams, np.uint64), np.array(owners, np.int64)
     names = np.array([docs, texts], np.int64)
     at, sizes = np.array(starts, np.uint32), np.fromiter(map(len, bodies), np.uint32, len(bodies))
-    bucket = (g % np.uint64(buckets)).astype(np.int64)
+    bucket = ((g >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         used, place = np.unique(o[own], return_inverse=True)
